@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, pii, token_count, url_filter
+from . import gif_media, license_scan, mixing, pii, token_count, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_token_count": token_count.op2_token_count,
+        "op4_media_gif": gif_media.op4_media_gif,
         "op5_url_filter": url_filter.op5_url_filter,
         "op8_mixing": mixing.op8_mixing,
         "op9_pii": pii.op9_pii,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 

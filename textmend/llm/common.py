@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     be cheap to scan (a staged table).
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with this package importable in the workers.
+
+    Where driver and workers share a file system that needs no installation; elsewhere
+    pass the package with ``--py-files``.
+    """
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def ship(spark: SparkSession) -> None:
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))

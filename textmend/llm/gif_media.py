@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import arrow_map, table
 
 WIDTH, ROWS, DELAY_CS, UNIT = 64, 256, 10, 64
 CLEAR, END, FIRST, LIMIT = 256, 257, 258, 4096
@@ -237,7 +237,7 @@ def _mapped(df: DataFrame, used: str, new: list[T.StructField], make, rows: int
                 cols = make(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], *cols], names=[*keep, *[f.name for f in new]])
 
-    return df.select(*keep, F.col(used).alias("__used")).mapInArrow(run, schema)
+    return arrow_map(df.select(*keep, F.col(used).alias("__used")), run, schema)
 
 
 def text_to_media(docs: DataFrame, *, text_col="text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import table
+from .common import arrow_map, table
 
 OVER, CACHE = 4096, 400_000
 
@@ -57,7 +57,7 @@ def count_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", path: str
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
 
 
 def op2_token_count(spark, sf_dir) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow_map, table
 
 SAMPLE, LEXICON, FOLDS, MIN_DOCS, MIN_Z, MIN_LIFT = 20_000, 512, 5, 5, 5.0, 8.0
 BEAM, READINGS, CACHE = 24, 4, 100_000
@@ -84,7 +84,7 @@ def corpus_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k], pa.int64())], names=["k", "n"])
 
     out = np.zeros(N_SYM**3)
-    for k, n in docs.select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
+    for k, n in arrow_map(docs.select(text_col), run, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
         out[k] = n  # at most 28^3 rows
     return out
 
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, lm: list[float], *, id_col="doc_id
                     y += [v] * len(got)
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(y, pa.int32())], names=["w", "y"])
 
-    seen = rows.select("_t", "_y").mapInArrow(run, "w string, y int")
+    seen = arrow_map(rows.select("_t", "_y"), run, "w string, y int")
     by_word = seen.groupBy("w").agg(F.sum(F.col("y").cast("long")).alias("t"), F.sum((1 - F.col("y")).cast("long")).alias("c"))
     both = by_word.filter((F.col("w") == "") | (F.col("t") >= MIN_DOCS)).filter((F.col("w") == "") | (F.col("t") * 4 > F.col("c")))
     got = {r.w: (r.t, r.c) for r in both.orderBy(F.col("w") != "", F.col("t").desc(), "w").limit(20 * LEXICON).collect()}
@@ -235,7 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array(hits, pa.list_(pa.string()))], names=[id_col, "score", "hits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, hits array<string>")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double, hits array<string>")
 
 
 def op10_toxicity(spark, sf_dir) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif_media, license_scan, mixing, pii, token_count, toxicity, url_filter
+from . import gif_media, license_scan, minhash_dedup, mixing, pii, token_count, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_count": token_count.op2_token_count,
         "op4_media_gif": gif_media.op4_media_gif,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_near_dedup": minhash_dedup.op6_near_dedup,
         "op8_mixing": mixing.op8_mixing,
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif_media, license_scan, minhash_dedup, mixing, pii, token_count, toxicity, url_filter
+from . import ann, gif_media, license_scan, minhash_dedup, mixing, pii, token_count, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_media_gif": gif_media.op4_media_gif,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_near_dedup": minhash_dedup.op6_near_dedup,
+        "op7_nearest": ann.op7_nearest,
         "op8_mixing": mixing.op8_mixing,
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,

@@ -4,8 +4,8 @@ A vector is a coarse cell's centre plus a product code: ``DIMS`` dimensions a
 subspace, 16 centroids (four bits) each.  Codes and codebooks minimise the score-aware
 loss |r|^2 + (eta - 1) (r . x/|x|)^2 of the error r: error along the vector itself, which
 moves its large inner products, costs eta times as much as error across it.  A query
-adds up table entries of the codes in the cells it probes; the best ``RERANK`` of each
-block are scored again in double precision on the original vectors.
+adds up table entries of the codes in the cells it probes; of each block the best
+``RERANK``, and all within ``MARGIN`` deviations of the codes' error of the k-th best, are scored again in double precision on the original vectors.
 
 Codebooks and centres are fitted on a bounded sample (``FIT`` vectors by hash order).
 Every vector is coded and indexed.  The number of cells follows the square root of the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, ship, stage, table
 
-K, DIMS, FIT, BLOCK, RERANK, PROBE, LEAST, ETA = 20, 2, 8192, 4096, 64, 0.95, 20, 3.0
+K, DIMS, FIT, BLOCK, RERANK, PROBE, LEAST, ETA, MARGIN = 20, 2, 8192, 4096, 48, 0.95, 20, 3.0, 1.5
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -82,6 +82,12 @@ class Quantiser:
                 along[:, j] = (err[:, j] * u[:, j]).sum(1)
                 total = others + along[:, j]
 
+        cell, codes = self.encode(sample)
+        q = sample[rng.choice(n, min(n, 128), replace=False)]
+        t = self.tables(q)
+        rough = (q @ self.centres.T)[:, cell] + sum(t[:, b][:, codes[:, b]] for b in range(codes.shape[1]))
+        self.sigma = float(np.sqrt(np.mean((rough - q @ sample.T) ** 2)))
+
     def _split(self, x, centre):
         pad = ((0, 0), (0, self.m * self.dims - self.d))
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -130,13 +136,13 @@ def scan(quant: Quantiser, cell: int, q: np.ndarray, codes: np.ndarray, x: np.nd
         rough = np.repeat((part @ quant.centres[cell]).astype(np.float32)[:, None], len(codes), 1)
         for b in range(codes.shape[1]):
             rough += t[:, b][:, codes[:, b]]
-        if rough.shape[1] > rerank:
-            edge = np.partition(rough, rough.shape[1] - rerank, axis=1)[:, -rerank, None]
-            keep = rough >= edge
-            # Of vectors that tie at the edge (copies do) the first by id stay.
-            spare = (rerank - (rough > edge).sum(1))[:, None]
-            tie = rough == edge
-            keep &= ~(tie & (np.cumsum(tie, 1) > spare))
+        n = rough.shape[1]
+        if n > max(rerank, k + 1):
+            # All that may belong to the best k, as far as codes tell: those within the codes'
+            # error of the k-th best (a tight cluster is kept whole), and ``rerank`` at least.
+            part_ = np.partition(rough, (n - rerank, n - k - 1), axis=1)
+            edge = np.minimum(part_[:, n - rerank], part_[:, n - k - 1] - np.float32(MARGIN * quant.sigma))
+            keep = rough >= edge[:, None]
         else:
             keep = np.ones(rough.shape, bool)
         keep &= xid[None, :] != qid[i : i + 64, None]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, arrow_map, discard, stage, table
+from .common import ASCII_LOWER, WORD, arrow_map, bounded_broadcast, discard, stage, table
 from .components import components
 
 SIDE, SUB, SHINGLE, PERCENT = 12, 3, 2, 80
@@ -203,7 +203,11 @@ def op6_near_dedup(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Ids of dropped documents up to this many are broadcast (8 bytes each), more are joined by shuffle.
+MAX_GONE = 500_000
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col="doc_id", **params) -> DataFrame:
     """``docs`` without the documents that are copies or near copies of one that is kept."""
-    gone = near_duplicates(docs, id_col=id_col, **params).filter("NOT kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = stage(near_duplicates(docs, id_col=id_col, **params).filter("NOT kept").select(id_col), "gone")
+    return docs.join(bounded_broadcast(gone, MAX_GONE), id_col, "left_anti").select(*docs.columns)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_broadcast, discard, stage, table
+from .common import WORD, bounded_broadcast, stage, table
 
 WEIGHTS, MAX_EPOCHS, SEED, BIN_DIGITS = (1, 2, 3), 3, "mix-1", 3
 #: Per-source tables up to this many rows are broadcast, larger ones are joined by shuffle.
@@ -56,50 +56,69 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return out.select("source", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("remain"))
 
 
-def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED, bin_digits=BIN_DIGITS) -> DataFrame:
-    """Per document: id, source, size, source_size, target, repeats, taken (= repeats * size)."""
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+#: Documents of boundary bins up to this many are broadcast, more are joined by shuffle.
+MAX_EDGE = 500_000
+
+
+def _order_hash(id_col: str, seed: str):
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+
+
+def _plan(docs: DataFrame, id_col, text_col, source_col, weights, max_epochs, seed, bin_digits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: id, source, size, h; sources: src, target and boundary bin; documents of boundary bins with extra)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     # The text is read once: what follows works on a few bytes per document.
-    sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h")), "mix")
+    sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _order_hash(id_col, seed).alias("h")), "mix")
     per = stage(targets(sized, weights, max_epochs), "targets")
-    per_b = bounded_broadcast(per, MAX_SOURCES)
     bins = sized.groupBy("source", F.substring("h", 1, bin_digits).alias("bin")).agg(F.sum("size").alias("in_bin"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("cum", F.coalesce(F.sum("in_bin").over(before), F.lit(0)))
     edge = (
         bins.withColumnRenamed("source", "s")
-        .join(per_b.select(F.col("source").alias("s2"), "remain"), F.col("s").eqNullSafe(F.col("s2")))
+        .join(bounded_broadcast(per, MAX_SOURCES).select(F.col("source").alias("s2"), "remain"), F.col("s").eqNullSafe(F.col("s2")))
         .filter((F.col("cum") < F.col("remain")) & (F.col("cum") + F.col("in_bin") >= F.col("remain")))
-        .select(F.col("s"), F.col("bin").alias("edge_bin"), F.col("cum").alias("edge_cum"))
+        .select("s", F.col("bin").alias("edge_bin"), F.col("cum").alias("edge_cum"))
     )
-    plan = per.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "src")
-    plan = bounded_broadcast(stage(plan, "plan"), MAX_SOURCES)
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("src"))).withColumn("bin", F.substring("h", 1, bin_digits))
-    at_edge = F.coalesce(F.col("bin") == F.col("edge_bin"), F.lit(False))
-    run = Window.partitionBy("source", "bin").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.filter(at_edge).withColumn("c", F.col("edge_cum") + F.coalesce(F.sum("size").over(run), F.lit(0)))
+    plan = stage(per.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "src"), "plan")
+    run = Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.join(bounded_broadcast(plan, MAX_SOURCES), F.col("source").eqNullSafe(F.col("src")))
+    inside = rows.filter(F.substring("h", 1, bin_digits) == F.col("edge_bin")).withColumn("c", F.col("edge_cum") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     inside = inside.withColumn("extra", (2 * F.col("c") + F.col("size") <= 2 * F.col("remain")).cast("long"))
-    outside = rows.filter(~at_edge).withColumn("c", F.lit(0).cast("long"))
-    outside = outside.withColumn("extra", F.coalesce(F.col("bin") < F.col("edge_bin"), F.lit(False)).cast("long"))
+    return sized, plan, inside
+
+
+def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED, bin_digits=BIN_DIGITS) -> DataFrame:
+    """Per document: id, source, size, source_size, target, repeats, taken (= repeats * size)."""
+    sized, plan, inside = _plan(docs, id_col, text_col, source_col, weights, max_epochs, seed, bin_digits)
+    rows = sized.join(bounded_broadcast(plan, MAX_SOURCES), F.col("source").eqNullSafe(F.col("src")))
+    bin_ = F.substring("h", 1, bin_digits)
+    outside = rows.filter(~F.coalesce(bin_ == F.col("edge_bin"), F.lit(False)))
+    outside = outside.withColumn("extra", F.coalesce(bin_ < F.col("edge_bin"), F.lit(False)).cast("long"))
     n = F.col("whole") + F.col("extra")
-    return inside.unionByName(outside).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", n.alias("repeats"), (n * F.col("size")).alias("taken"))
+    return inside.drop("c").unionByName(outside).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", n.alias("repeats"), (n * F.col("size")).alias("taken"))
 
 
 def op8_mixing(spark, sf_dir) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def apply_mix(docs: DataFrame, **params) -> DataFrame:
+def apply_mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED, bin_digits=BIN_DIGITS) -> DataFrame:
     """The mixed documents themselves: each as many rows as it is repeated.
 
     A document that is taken 0 times goes; a text without words carries no weight in a
     mix and goes as well.  Ids name documents here: rows of one id share its count.
+    Texts are not shuffled: each row finds its source's plan, and only those of a
+    boundary bin are looked up by hash.
     """
-    id_col = params.get("id_col", "doc_id")
-    picked = mix(docs, **params).filter("taken > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("repeats").alias("_n"))
-    joined = docs.join(picked, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    _, plan, inside = _plan(docs, id_col, text_col, source_col, weights, max_epochs, seed, bin_digits)
+    edge = stage(inside.groupBy(F.col("h").alias("_eh")).agg(F.max("extra").alias("_extra")), "edge")
+    plan = plan.select(F.col("src").alias("_src"), F.col("whole").alias("_whole"), F.col("edge_bin").alias("_edge"))
+    rows = docs.filter(F.col(text_col).rlike(WORD)).withColumn("_h", _order_hash(id_col, seed))
+    rows = rows.join(bounded_broadcast(plan, MAX_SOURCES), F.col(source_col).eqNullSafe(F.col("_src")))
+    rows = rows.join(bounded_broadcast(edge, MAX_EDGE), F.col("_h") == F.col("_eh"), "left")
+    extra = F.coalesce("_extra", (F.substring("_h", 1, bin_digits) < F.col("_edge")).cast("long"), F.lit(0))
+    times = (F.col("_whole") + extra).cast("int")
+    return rows.withColumn("_n", times).filter("_n > 0").withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
 SQL = rf"""

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, table
 
@@ -217,27 +218,36 @@ def learn(docs: DataFrame, labels: DataFrame, lm: list[float], *, id_col="doc_id
     return math.log(nt / nc), {w: lexicon[w][1:] for w in top}
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", only_train=True) -> DataFrame:
-    """(id, score, hits) of every row; hits: the lexicon's words found, also as restored."""
+def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", only_train=True, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns in ``carry``, all by default) with score and hits, one row for each of its rows.
+
+    hits: the lexicon's words found, also as restored.  Columns named score or hits are replaced.
+    """
     lm = language_model(corpus_counts(docs, text_col))
     model = learn(docs, labels, lm, id_col=id_col, text_col=text_col, only_train=only_train)
     prior, lexicon = model or (-math.inf, {})
     rest = prior + sum(b for _, b in lexicon.values()) if model else 0.0
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "hits")]
 
     def run(batches):
         r, names = Restorer(lm), lexicon.keys()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                hits = [sorted(r.words(t) & names) if t else [] for t in part.column(1).to_pylist()]
+                hits = [sorted(r.words(t) & names) if t else [] for t in part.column(len(keep)).to_pylist()]
                 logit = [rest + sum(lexicon[w][0] - lexicon[w][1] for w in h) for h in hits]
                 p = [1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) if model else 0.0 for x in logit]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array(hits, pa.list_(pa.string()))], names=[id_col, "score", "hits"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(p, pa.float64()), pa.array(hits, pa.list_(pa.string()))], names=[*keep, "score", "hits"])
+
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.StringType()))])
+    return arrow_map(docs.select(*keep, F.col(text_col).alias("__text")), run, schema)
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double, hits array<string>")
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **params) -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold."""
+    return score(docs, labels, **params).filter(F.col("score") < threshold).select(*docs.columns)
 
 
 def op10_toxicity(spark, sf_dir) -> DataFrame:
-    out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")

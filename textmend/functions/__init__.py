@@ -1,0 +1 @@
+"""Column builders: text in, Column out, no DataFrame touched."""

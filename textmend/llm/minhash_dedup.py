@@ -10,11 +10,13 @@ SIDE = 12 and SUB = 3, two sets of similarity 0.8 share a table with probability
 Steps.  (1) One map over the texts gives set digests and sub-bands; equal sets become
 one class, named by its least doc_id, so copies cost nothing further.  (2) Table keys
 are counted with partial aggregation (a hot key is one row per task); keys that one
-class holds alone go.  (3) Star round: each member of a key is verified against the
-key's least member, which is linear in the size of a key.  (4) Classes that are linked
-become components.  (5) Cross round: where a key still holds several components, the
-members of different components are verified against each other, so that no link
-is lost that the tables show; members of one component are never paired again.
+class holds alone go.  (3) Each member of a key is tied to the key's least member, which
+is linear in the size of a key; ties whose sub-bands hardly agree go, and what hangs
+together is a family.  (4) A family's texts meet in one task, or block by block if there
+are many, and are compared exactly on full sets, except those that are in one component
+by then; no pair is ever a row.  In a family of several blocks, every block meets the
+least member first; then only members outside the largest component meet the rest.
+(5) Links become components.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; a text
 of one word has that word as its set; rows without doc_id are kept and not linked;
@@ -38,7 +40,9 @@ from .components import components
 SIDE, SUB, SHINGLE, PERCENT = 12, 3, 2, 80
 #: Sub-bands of 2*SIDE that a candidate must share; at 0.8 fewer come once in 10^5 pairs.
 SHARED = 3
-CACHE = 200_000
+#: Sizes in a family may differ more than in a link: its members need not be linked to each other.
+LOOSE = 0.8
+CACHE = 100_000
 _WORD = re.compile(WORD)
 _MASK = (1 << 64) - 1
 
@@ -110,85 +114,124 @@ def sets(docs: DataFrame, *, id_col, text_col, side, sub, shingle, seed) -> Data
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_col), run, "id long, digest binary, n long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, *, id_col, text_col, shingle, percent) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
-    texts = stage(texts.dropDuplicates(["id"]) if not docs.isEmpty() else texts, "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+def linked(nodes: list[int], sets_: list[np.ndarray], percent: int) -> list[int]:
+    """For each set the least node of its component, by exact similarities.
+
+    Sets that are in one component by now are not compared.  One set's marks in a bitmap
+    over the group's shingles give its intersections with all others at once.
+    """
+    n = len(sets_)
+    size = np.array([len(x) for x in sets_])
+    flat = np.unique(np.concatenate(sets_), return_inverse=True)[1] if n else np.empty(0, np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    seen, comp = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool), np.arange(n)
+    for i in range(n - 1):
+        rest = np.arange(i + 1, n)
+        small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
+        rest = rest[(comp[rest] != comp[i]) & (100 * small >= percent * large) & (small > 0)]
+        if not len(rest):
+            continue
+        mine = flat[off[i] : off[i + 1]]
+        seen[mine] = True
+        if 2 * len(rest) > n - i:
+            both = np.add.reduceat(seen[flat[off[i + 1] :]].astype(np.int64), off[i + 1 : -1] - off[i + 1])[rest - i - 1]
+        else:
+            both = np.array([np.count_nonzero(seen[flat[off[j] : off[j + 1]]]) for j in rest.tolist()])
+        seen[mine] = False
+        hit = rest[100 * both >= percent * (size[i] + size[rest] - both)]
+        if len(hit):
+            comp[np.isin(comp, comp[hit])] = comp[i]
+    least: dict[int, int] = {}
+    for c, v in zip(comp.tolist(), nodes):
+        least[c] = min(v, least.get(c, v))
+    return [least[c] for c in comp.tolist()]
+
+
+def _compared(rows: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """Edges (a, b) between the members of each group (g, node, text): a node and its component's least."""
 
     def run(batches):
-        make, last = Shingler(shingle), {}
+        make = Shingler(shingle)
+
+        def edges(nodes, found):
+            root = linked(nodes, found, percent)
+            at = [i for i in range(len(nodes)) if nodes[i] != root[i]]
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in at], pa.int64()), pa.array([root[i] for i in at], pa.int64())], names=["a", "b"])
+
+        last, nodes, found = None, [], []
         for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
-            ok = []
-            for i in range(batch.num_rows):
-                got = []
-                for k, t in ((a[i].as_py(), ta), (b[i].as_py(), tb)):
-                    if k not in last:
-                        if len(last) > 256:
-                            last.clear()
-                        last[k] = make(t[i].as_py())
-                    got.append(last[k])
-                x, y = got
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if 100 * small < percent * large or not small:
-                    ok.append(False)
-                    continue
-                both_ = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both_ >= percent * (len(x) + len(y) - both_))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = stage(arrow_map(both.select("a", "b", "ta", "tb"), run, "a long, b long"), "links")
-    discard(texts)
-    return out
+            for g, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if g != last:
+                    if len(nodes) > 1:
+                        yield edges(nodes, found)
+                    last, nodes, found = g, [], []
+                nodes.append(node)
+                found.append(make(text.as_py()))
+        if len(nodes) > 1:
+            yield edges(nodes, found)
+
+    dealt = rows.select("g", "node", "t").repartition("g").sortWithinPartitions("g", "node")
+    return stage(arrow_map(dealt, run, "a long, b long"), "links")
+
+
+#: A family is cut into blocks of so many classes, and of so many shingles.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
+#: Members of families up to this many are broadcast to find their texts, more are joined by shuffle.
+MAX_MEMBERS = 500_000
 
 
 def link(docs: DataFrame, *, id_col="doc_id", text_col="text", side=SIDE, sub=SUB, shingle=SHINGLE, percent=PERCENT, seed=7) -> tuple[DataFrame, DataFrame]:
     """(documents: id, digest, n; classes: digest, node, component)."""
-    how = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
-    made = stage(sets(docs, side=side, sub=sub, seed=seed, **how), "sets")
+    made = stage(sets(docs, id_col=id_col, text_col=text_col, side=side, sub=sub, shingle=shingle, seed=seed), "sets")
     known = made.filter("id IS NOT NULL AND digest IS NOT NULL")
-    classes = stage(known.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    verify = {**how, "percent": percent}
+    parts = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), made.count() // 20_000)
+    classes = stage(known.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")).repartition(parts, "digest"), "classes")
 
-    pos = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(side) for j in range(side)]
-    at = F.explode(F.array(*pos))
+    # Tables: keys that more than one class has, and their members.
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(side) for j in range(side)]))
     key = F.xxhash64("p.i", "p.j", F.element_at("bands", F.col("p.i") + 1), F.element_at("bands", F.col("p.j") + 1 + side))
     rows = classes.select("node", "bands", at.alias("p")).select("node", key.alias("key"))
     shared = stage(rows.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("z")).filter("c <> z").select("key", "c"), "keys")
-    members = stage(rows.join(shared, "key"), "members")
+    star = stage(rows.join(shared, "key").filter("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "star")
     discard(shared)
 
-    info = classes.groupBy("node").agg(F.max_by("n", "n").alias("n"), F.max_by("bands", "n").alias("bands"))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (
+    # Families: what is connected by keys, after a look at sizes and shared sub-bands.
+    info = classes.groupBy("node").agg(F.max("n").alias("n"), F.max_by("bands", "n").alias("bands"))
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent * LOOSE) & (
         F.aggregate(F.zip_with("ba", "bb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= SHARED
     )
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link and which share enough sub-bands."""
-        a = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ba"))
-        b = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("bb"))
-        return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b")
-
-    star = stage(screened(members.filter("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()), "star-pairs")
-    links = _verified(star, docs, **verify)
-    comp = stage(components(links), "comp")
-
-    # Keys that still hold members of different components.
-    m = members.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("x"))
-    mixed = m.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("key")
-    m = stage(m.join(mixed, "key"), "mixed")
-    sides = m.select("key", "x").distinct()
-    cross = sides.join(sides.select("key", F.col("x").alias("y")), "key").filter("x < y")
-    pairs = cross.join(m.select("key", "x", F.col("node").alias("u")), ["key", "x"]).join(m.select("key", F.col("x").alias("y"), F.col("node").alias("v")), ["key", "y"])
-    pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    rest = stage(screened(pairs.join(star, ["a", "b"], "left_anti")), "cross-pairs")
-    more = _verified(rest, docs, **verify)
-    full = stage(components(links.unionByName(more)), "full")
-    out = stage(classes.select("digest", "node").join(full, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component")), "linked")
-    discard(classes, members, star, links, comp, m, rest, more, full)
-    return made.select("id", "digest", "n"), out
+    i = lambda v: info.select(F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("bands").alias(f"b{v}"))
+    family = stage(components(star.join(i("a"), "a").join(i("b"), "b").filter(near)), "family")
+    discard(star)
+
+    # Within families every member is compared with every other, block by block.
+    size = classes.groupBy("node").agg(F.max("n").alias("n"))
+    fam = family.select("node", F.col("component").alias("f")).join(size, "node")
+    blocks = fam.groupBy("f").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    fam = stage(fam.join(blocks, "f").select("f", "node", "n", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("blk")), "blocks")
+    text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t")).join(bounded_broadcast(fam, MAX_MEMBERS), "node")
+    # A family's least member meets all of its blocks, so most links show in this linear pass.
+    first = text.withColumn("x", F.explode(F.when(F.col("node") == F.col("f"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("blk"))))
+    links = _compared(first.select(F.struct("f", "x").alias("g"), "node", "t"), shingle=shingle, percent=percent)
+    edges = links
+    if not fam.filter("nb > 1").isEmpty():
+        # Those outside the largest component of a family of several blocks meet all other members.
+        big = fam.filter("nb > 1").join(components(links), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        big = stage(big, "big")
+        top = big.groupBy("f", "c").agg(F.count("*").alias("m")).groupBy("f").agg(F.max_by("c", "m").alias("top"))
+        out = big.join(top, "f").filter("c <> top")
+        ob = out.groupBy("f").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("ob"))
+        out = stage(out.join(ob, "f").select("node", "f", "nb", "ob", F.pmod(F.xxhash64("node", F.lit(1)), F.col("ob")).cast("int").alias("o")), "out")
+        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
+        every = big.join(ob, "f").select("node", "f", F.col("blk").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("o"))
+        asked = out.select("node", "f", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"), "o")
+        pairs = every.unionByName(asked).distinct()
+        more = _compared(texts.join(pairs, "node").select(F.struct("f", "x", "o").alias("g"), "node", "t"), shingle=shingle, percent=percent)
+        edges = links.unionByName(more)
+    full = stage(components(edges), "full")
+    result = stage(classes.select("digest", "node").join(full, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component")), "linked")
+    discard(classes, family, fam, links, full)
+    return made.select("id", "digest", "n"), result
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", **params) -> DataFrame:

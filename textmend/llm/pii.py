@@ -69,12 +69,20 @@ def located(hits: Column, gaps: Column) -> Column:
     A running sum in two levels: within blocks of matches and over block sums, so
     that a text with very many matches costs little more than one with few.
     """
-    n = F.size(hits)
-    steps = F.zip_with(F.slice(gaps, 1, n), hits, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v")))
+    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v")))
+    return _let(steps, _placed)
+
+
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, also where ``f`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _placed(steps: Column) -> Column:
+    n = F.size(steps)
     blocks = F.when(n > 0, F.sequence(F.lit(0), ((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
     part = lambda b: F.slice(steps, b * BLOCK + 1, BLOCK)
     sums = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda a, x: a + x["g"] + F.length(x["v"])))
-    base = lambda b: F.aggregate(F.slice(sums, 1, b), F.lit(0), lambda a, x: a + x)
     empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
 
     def add(acc, x):
@@ -82,8 +90,11 @@ def located(hits: Column, gaps: Column) -> Column:
         e = s + F.length(x["v"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
 
-    fold = lambda b: F.aggregate(part(b), F.struct(base(b).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
-    return F.flatten(F.transform(blocks, fold))
+    def folded(sums):
+        base = lambda b: F.aggregate(F.slice(sums, 1, b), F.lit(0), lambda a, x: a + x)
+        return F.flatten(F.transform(blocks, lambda b: F.aggregate(part(b), F.struct(base(b).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])))
+
+    return _let(sums, folded)
 
 
 def _mod97(v: Column) -> Column:

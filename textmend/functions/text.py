@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..script import BREAKS, SPACE, ScriptProfile
 
 TOKEN = "array<struct<pos:int,type:string,value:string,start:int,end:int>>"
-BLOCK = 128
+BLOCK = 64
 
 
 def substr(col, start, length) -> Column:
@@ -66,11 +66,18 @@ def tokens(col: Column, p: ScriptProfile) -> Column:
     Offsets are running sums in two levels (within blocks and over blocks), so a long
     text costs little more per token than a short one, and no window is needed.
     """
-    raw = F.regexp_extract_all(col, F.lit(token_pattern(p)), F.lit(0))
+    return let(F.regexp_extract_all(col, F.lit(token_pattern(p)), F.lit(0)), lambda raw: _located(raw, p))
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, also where ``f`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _located(raw: Column, p: ScriptProfile) -> Column:
     blocks = F.when(F.size(raw) > 0, F.sequence(F.lit(0), ((F.size(raw) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
     part = lambda b: F.slice(raw, b * BLOCK + 1, BLOCK)
     sums = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda a, x: a + F.length(x)))
-    base = lambda b: F.aggregate(F.slice(sums, 1, b), F.lit(0), lambda a, x: a + x)
 
     def add(acc, v):
         kind = F.when(v.rlike(f"^[{p.digit}]"), "number").when(v.rlike(f"^[{p.word}]"), "word").otherwise("other")
@@ -78,8 +85,12 @@ def tokens(col: Column, p: ScriptProfile) -> Column:
         one = F.struct(acc["pos"].alias("pos"), kind.alias("type"), v.alias("value"), acc["at"].alias("start"), end.alias("end"))
         return F.struct((acc["pos"] + 1).alias("pos"), end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    start = lambda b: F.struct((b * BLOCK).alias("pos"), base(b).alias("at"), F.array().cast(TOKEN).alias("out"))
-    return F.flatten(F.transform(blocks, lambda b: F.aggregate(part(b), start(b), add, lambda acc: acc["out"])))
+    def placed(sums):
+        base = lambda b: F.aggregate(F.slice(sums, 1, b), F.lit(0), lambda a, x: a + x)
+        start = lambda b: F.struct((b * BLOCK).alias("pos"), base(b).alias("at"), F.array().cast(TOKEN).alias("out"))
+        return F.flatten(F.transform(blocks, lambda b: F.aggregate(part(b), start(b), add, lambda acc: acc["out"])))
+
+    return let(sums, placed)
 
 
 def reconstruct(toks: Column) -> Column:

@@ -1,0 +1 @@
+"""Readers, backends for images and PDF, and sinks."""

@@ -1,0 +1 @@
+"""The batch transforms over micro-batches, and keyed session state."""

@@ -164,6 +164,8 @@ def read_gif(data: bytes):
         while (n := data[at]) != 0:
             got.append(data[at + 1 : at + 1 + n])
             at += n + 1
+            if at >= len(data):
+                raise ValueError("the file ends early")
         at += 1
         return b"".join(got)
 

@@ -110,9 +110,10 @@ def _judge(kind: str, x: Column) -> tuple[Column, Column]:
     if kind == "email":
         return F.lit(True), F.lit(True)
     if kind == "ip":
-        return v.rlike(IP_OK), F.lit(True)
+        return v.rlike(IP_OK), v.rlike(IP_OK)
     if kind == "phone":
-        return F.length(F.regexp_replace(v, "[^0-9]", "")).between(8, 15), F.lit(True)
+        ok = F.length(F.regexp_replace(v, "[^0-9]", "")).between(8, 15)
+        return ok, ok
     if kind == "card":
         d = F.regexp_replace(v, "[ -]", "")
         ok = F.when(F.length(d).between(13, 19), F.call_function("luhn_check", d)).otherwise(F.lit(False))
@@ -202,10 +203,10 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
 m AS ({" UNION ALL ".join(parts)}),
 n AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS dg, replace(v, ' ', '') AS bare,
     substr(text, greatest(s - {CONTEXT}, 0) + 1, least(s, {CONTEXT})) AS near FROM m),
-j AS (SELECT *, CASE kind WHEN 'card' THEN length(dg) BETWEEN 13 AND 19 AND {luhn} WHEN 'iban' THEN length(bare) BETWEEN 15 AND 34 AND {mod} ELSE true END AS ok,
+j AS (SELECT *, CASE kind WHEN 'card' THEN length(dg) BETWEEN 13 AND 19 AND {luhn} WHEN 'iban' THEN length(bare) BETWEEN 15 AND 34 AND {mod}
+    WHEN 'ip' THEN regexp_matches(v, {q(IP_OK)}) WHEN 'phone' THEN length(dg) BETWEEN 8 AND 15 ELSE true END AS ok,
     CASE kind {cues} END AS cue FROM n),
-b AS (SELECT *, CASE kind WHEN 'email' THEN true WHEN 'ip' THEN regexp_matches(v, {q(IP_OK)}) WHEN 'phone' THEN length(dg) BETWEEN 8 AND 15
-    WHEN 'card' THEN ok AND length(dg) >= 16 ELSE false END AS base FROM j),
+b AS (SELECT *, CASE kind WHEN 'card' THEN ok AND length(dg) >= 16 WHEN 'iban' THEN false ELSE ok END AS base FROM j),
 k AS (SELECT *, CASE WHEN ok THEN CASE WHEN base OR kind = 'iban' THEN CASE kind {scores} END ELSE {SHORT_CARD} END + CASE WHEN cue THEN {CUE_BONUS} ELSE 0 END ELSE 0 END AS score FROM b),
 f AS (SELECT r, {", ".join(f"count(*) FILTER (base AND kind = '{x}') AS n_{x}" for x in KINDS[:4])},
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ki, s) FILTER (base) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ki, s) AS spans

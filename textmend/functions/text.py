@@ -66,7 +66,7 @@ def tokens(col: Column, p: ScriptProfile) -> Column:
     Offsets are running sums in two levels (within blocks and over blocks), so a long
     text costs little more per token than a short one, and no window is needed.
     """
-    return let(F.regexp_extract_all(col, F.lit(token_pattern(p)), F.lit(0)), lambda raw: _located(raw, p))
+    return F.when(col.isNotNull(), let(F.regexp_extract_all(col, F.lit(token_pattern(p)), F.lit(0)), lambda raw: _located(raw, p)))
 
 
 def let(value: Column, f) -> Column:

@@ -80,13 +80,22 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)``, with this package importable in the workers.
 
     Where driver and workers share a file system that needs no installation; elsewhere
     pass the package with ``--py-files``.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    # Texts are long: small batches keep the memory of both sides bounded.
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:  # unlimited, larger, or with another unit
+            spark.conf.set(key, str(most))
     return df.mapInArrow(run, schema)
 
 

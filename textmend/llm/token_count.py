@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import vocab
 from .common import arrow_map, table
 
-OVER, CACHE = 4096, 400_000
+OVER, CACHE = 4096, 300_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

@@ -14,7 +14,7 @@ into one set per step: same prefix, another choice there, whose greatest Gumbel
 is truncated at the popped one.  A step is a piece at a place of the lattice, drawn with
 its probability given the place (backward sums over the lattice).  No piece crosses
 a word start, so lattices are built per unit of text, for all new units of a batch at
-once, and kept by each worker (``CACHE`` units, then anew).  All texts of a batch go through
+once, and kept by each worker (the first ``CACHE`` units; others for the batch).  All texts of a batch go through
 the search in step, so that draws and sums are array operations; units longer than
 ``LISTED`` characters take a path whose cost is in proportion to their length.
 
@@ -45,7 +45,7 @@ from . import vocab
 from .common import arrow_map, table
 from .token_count import model_path
 
-TOP, ALPHA, SEED, LISTED, CACHE, SCALE = 2, 1.0, "pieces-1", 40, 120_000, 7.0
+TOP, ALPHA, SEED, LISTED, CACHE, SCALE = 2, 1.0, "pieces-1", 40, 180_000, 7.0
 
 
 _U = np.uint64
@@ -161,7 +161,7 @@ class Store:
     a draw looks at one or two of them.
     """
 
-    KINDS = {"next": np.int32, "id": np.int32, "place": np.int32, "cum": np.float32, "logp": np.float64}
+    KINDS = {"next": np.int32, "id": np.int32, "place": np.int32, "cum": np.float32, "rest": np.float32, "logp": np.float64}
 
     def __init__(self, lat: Lattice):
         self.lat, self.unit = lat, {}
@@ -198,7 +198,7 @@ class Store:
             cond = self._short(start, length, logw, wide, dist, len(flat), int(size.max()))
         else:
             cond = self._long(start, length, logw, len(flat))
-        order = np.lexsort((length, -cond, start))
+        order = np.argsort(start - 0.999 * cond, kind="stable")
         start, length, ids, cond = start[order], length[order], ids[order], cond[order]
         n = np.bincount(start, minlength=len(flat))
         first = np.cumsum(n) - n
@@ -206,7 +206,9 @@ class Store:
         cum = run - np.repeat(run[first] - cond[first], n)
         cum[first + n - 1] = 2.0  # the last choice takes what rounding leaves
         base, old, place = self.n_places, self.n_steps, start + length
-        new = {"next": np.where(place < end[start], place + base, -1), "id": ids, "place": start + base, "cum": cum, "logp": np.log(np.maximum(cond, 1e-300))}
+        # Log probability of any other choice at the place; none where there is no other.
+        rest = np.where(np.repeat(n, n) > 1, np.log(np.maximum(1.0 - cond, 1e-300)), -np.inf)
+        new = {"rest": rest, "next": np.where(place < end[start], place + base, -1), "id": ids, "place": start + base, "cum": cum, "logp": np.log(np.maximum(cond, 1e-300))}
         self.steps = {k: self._put(a, old, new[k]) for k, a in self.steps.items()}
         self.first = self._put(self.first, base, np.append(first, len(ids)) + old)
         self.n_places, self.n_steps = base + len(flat), old + len(ids)
@@ -218,7 +220,7 @@ class Store:
 
         Weights are scaled by ``SCALE`` a byte, the same for all paths, to stay in range.
         """
-        order = np.lexsort((start, dist))
+        order = np.argsort(dist * n + start, kind="stable")
         s, e = start[order], (start + length)[order]
         w = np.exp(logw + SCALE * wide)[order]
         back = np.ones(n + 1)
@@ -281,11 +283,6 @@ class Store:
         return out.astype(np.int32)
 
 
-def _below(loc, bound: float, u):
-    """Gumbels at ``loc``, given that they lie under ``bound``."""
-    return loc - np.log(np.exp(np.minimum(loc - bound, 700.0)) - np.log(u))
-
-
 class _Row:
     __slots__ = ("units", "key", "found", "agenda", "serial")
 
@@ -334,33 +331,31 @@ def sample(store: Store, texts: list[np.ndarray], seeds: np.ndarray, k: int) ->
             a, b = offs[bounds[j]], offs[bounds[j + 1]]
             tail, n = steps[a:b], per[bounds[j] : bounds[j + 1]]
             begin = unit if spot < 0 or (heads[j] and store.steps["next"][heads[j][0]] >= 0) else unit + 1
-            of = np.repeat(np.arange(begin, begin + len(n)), n)
             if heads[j]:
-                tail, of = np.concatenate([heads[j], tail]), np.concatenate([[unit], of])
-            tail = tail.astype(np.int64)
-            lt = logp[tail]
-            before = lp + np.concatenate([[0.0], np.cumsum(lt)])
+                tail = np.concatenate([heads[j], tail]).astype(np.int64)
+            before = lp + np.concatenate([[0.0], np.cumsum(logp[tail])])
             whole = np.concatenate([prefix, tail])
             r.found.append((g, whole, float(before[-1])))
             # The other choices at each step of the tail, as sets: log mass, then greatest Gumbel.
-            place_of = store.steps["place"][tail]
-            choice = first[place_of + 1] - first[place_of] > 1
-            other = np.full(len(tail), -np.inf)
-            other[choice] = np.log(np.maximum(-np.expm1(lt[choice]), 1e-300))
+            loc = before[:-1] + store.steps["rest"][tail]
             if heads[j]:
                 left = [c for c in range(first[spot], first[spot + 1]) if c not in taboo and c != tail[0]]
-                other[0] = math.log(math.fsum(np.exp(logp[left]))) if left else -math.inf
-            live = np.flatnonzero(other > -np.inf)
-            if len(live):
-                seed = _mix(r.key + _U(turn + 1))
-                u = _uniform(_mix(live.astype(np.uint64) * _GOLD + ~seed))
-                gum = _below(before[live] + other[live], g, u)
-                top = np.arange(len(live)) if len(live) <= k else np.argpartition(-gum, k - 1)[:k]
-                for i in top.tolist():
-                    at = int(live[i])
-                    tab = ((*taboo, int(tail[0])) if at == 0 and heads[j] else (int(tail[at]),))
+                loc[0] = lp + math.log(math.fsum(np.exp(logp[left]))) if left else -math.inf
+            if len(loc):
+                # G = loc - log(exp(loc - g) + E) falls as E exp(-loc) rises, so only the best need be worked out.
+                e = -np.log(_uniform(_mix(np.arange(len(loc), dtype=np.uint64) * _GOLD + ~_mix(r.key + _U(turn + 1)))))
+                size = np.log(e) - loc
+                top = np.argpartition(size, k - 1)[:k] if len(loc) > k else np.arange(len(loc))
+                ends = np.cumsum(n)
+                for at in top.tolist():
+                    if loc[at] == -np.inf:
+                        continue
+                    gum = loc[at] - math.log(math.exp(min(loc[at] - g, 700.0)) + e[at])
+                    own = at == 0 and heads[j]
+                    tab = (*taboo, int(tail[0])) if own else (int(tail[at]),)
+                    of = unit if own else begin + int(np.searchsorted(ends, at - len(heads[j]), side="right"))
                     r.serial += 1
-                    heapq.heappush(r.agenda, (-float(gum[i]), r.serial, whole[: len(prefix) + at], float(before[at]), int(place_of[at]), tab, int(of[at])))
+                    heapq.heappush(r.agenda, (-float(gum), r.serial, whole[: len(prefix) + at], float(before[at]), int(store.steps["place"][tail[at]]), tab, of))
         if turn + 1 < k:
             jobs = []
             for r in rows:
@@ -384,41 +379,62 @@ def row_seed(seed: str, key) -> int:
 
 
 class Sampler:
+    """Samples texts; lattices of the first ``CACHE`` units it meets are kept, others for one call."""
+
     def __init__(self, path: str, alpha: float, k: int):
         self.lat, self.k = lattice(path, alpha), k
         self.store = Store(self.lat)
 
     def __call__(self, texts: list[str], seeds: list[int]) -> list[list[tuple]]:
         units = [self.lat.v.units(t) if t else [] for t in texts]
-        new = set().union(*units).difference(self.store.unit)
+        new, spare = sorted(set().union(*units).difference(self.store.unit)), []
         if new:
-            if len(self.store.unit) + len(new) > CACHE:
-                self.store = Store(self.lat)
-                new = set().union(*units)
-            self.store.add(sorted(new))
+            room = max(0, CACHE - len(self.store.unit))
+            self.store.add(new[:room])
+            mark, spare = (self.store.n_places, self.store.n_steps), new[room:]
+            self.store.add(spare)
         get = self.store.unit.__getitem__
         places = [np.fromiter(map(get, u), np.int64, len(u)) for u in units]
-        return [[(self.store.ids(s), lp, inc) for s, lp, inc in got] for got in sample(self.store, places, np.array(seeds, np.uint64), self.k)]
+        out = [[(self.store.ids(s), lp, inc) for s, lp, inc in got] for got in sample(self.store, places, np.array(seeds, np.uint64), self.k)]
+        if spare:
+            self.store.n_places, self.store.n_steps = mark
+            for u in spare:
+                del self.store.unit[u]
+        return out
+
+
+@lru_cache(maxsize=1)
+def sampler(path: str, alpha: float, k: int) -> Sampler:
+    """One per worker process, which serves many tasks."""
+    return Sampler(path, alpha, k)
 
 
 SAMPLES = T.ArrayType(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_prob", T.DoubleType()), T.StructField("inclusion", T.DoubleType())]))
 _ARROW = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())]))
 
 
-def encode(docs: DataFrame, *, id_col="doc_id", text_col="text", k: int = TOP, alpha: float = ALPHA, seed: str = SEED, path: str | None = None) -> DataFrame:
-    """``docs`` with samples: array<struct<ids, log_prob, inclusion>>, in order of being drawn."""
+def encode(docs: DataFrame, *, id_col="doc_id", text_col="text", k: int = TOP, alpha: float = ALPHA, seed: str = SEED, path: str | None = None, verify: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns in ``carry``, all by default) with samples: array<struct<ids, log_prob, inclusion>>, in order of being drawn.
+
+    ``verify`` adds decodes: whether every sample decodes to the text.
+    """
     path = path or model_path()
-    keep = [c for c in docs.columns if c != "samples"]
+    new = {"samples"} | ({"decodes"} if verify else set())
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in new]
 
     def run(batches):
-        draw = Sampler(path, alpha, k)
+        draw = sampler(path, alpha, k)
         for batch in batches:
-            for at in range(0, batch.num_rows, 192):
-                part = batch.slice(at, 192)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 n = len(keep)
                 sizes, lens, ids, lps, incs = [0], [0], [], [], []
                 seeds = [row_seed(seed, x) for x in part.column(n).to_pylist()]
-                for got in draw([t or "" for t in part.column(n + 1).to_pylist()], seeds):
+                texts = [t or "" for t in part.column(n + 1).to_pylist()]
+                same = []
+                for text, got in zip(texts, draw(texts, seeds)):
+                    if verify:
+                        same.append(all(decode_ids(path, one.tolist()) == text for one, _, _ in got))
                     for one, lp, inc in got:
                         ids.append(one)
                         lens.append(lens[-1] + len(one))
@@ -427,9 +443,10 @@ def encode(docs: DataFrame, *, id_col="doc_id", text_col="text", k: int = TOP, a
                     sizes.append(sizes[-1] + len(got))
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                 one = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(lens, pa.int32()), flat), pa.array(lps, pa.float64()), pa.array(incs, pa.float64())], fields=list(_ARROW.value_type))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), one)], names=[*keep, "samples"])
+                cols = [*[part.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), one)]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array(same, pa.bool_())] if verify else []), names=[*keep, "samples", *(["decodes"] if verify else [])])
 
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("samples", SAMPLES)])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("samples", SAMPLES), *([T.StructField("decodes", T.BooleanType())] if verify else [])])
     return arrow_map(docs.select(*keep, F.col(id_col).alias("__key"), F.col(text_col).alias("__text")), run, schema)
 
 
@@ -471,4 +488,4 @@ def digest(encoded: DataFrame, id_col="doc_id") -> DataFrame:
 
 
 def op3_piece_sampling(spark, sf_dir) -> DataFrame:
-    return digest(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digest(encode(table(spark, sf_dir, "documents"), carry=["doc_id"]))

@@ -9,7 +9,6 @@ text is encoded as sampled pieces.  All but the last keep the columns of ``docum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textmend.llm import minhash_dedup, mixing, piece_sampling, pii, toxicity
 from textmend.llm.common import discard, stage, table
@@ -32,10 +31,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, samples (piece ids), and whether the first sample decodes to the text."""
-    coded = piece_sampling.encode(docs.select("doc_id", "lang", "source", "text"))
-    back = piece_sampling.decode(coded.withColumn("_ids", F.col("samples")[0]["ids"]), ids_col="_ids", out_col="_back")
-    return back.select("doc_id", "lang", "source", "samples", (F.col("_back") == F.coalesce("text", F.lit(""))).alias("decodes"))
+    """doc_id, lang, source, samples (piece ids), and whether all samples decode to the text."""
+    return piece_sampling.encode(docs, carry=["doc_id", "lang", "source"], verify=True)
 
 
 STAGES = [

@@ -42,7 +42,7 @@ SIDE, SUB, SHINGLE, PERCENT = 12, 3, 2, 80
 SHARED = 3
 #: Sizes in a family may differ more than in a link: its members need not be linked to each other.
 LOOSE = 0.8
-CACHE = 100_000
+CACHE = 50_000
 _WORD = re.compile(WORD)
 _MASK = (1 << 64) - 1
 
@@ -175,7 +175,9 @@ def _compared(rows: DataFrame, *, shingle: int, percent: int) -> DataFrame:
 
 
 #: A family is cut into blocks of so many classes, and of so many shingles.
-BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 500_000
+#: Documents whose table keys one task makes: few enough for their counts to stay in memory.
+CLASSES = 6_000
 #: Members of families up to this many are broadcast to find their texts, more are joined by shuffle.
 MAX_MEMBERS = 500_000
 
@@ -184,7 +186,7 @@ def link(docs: DataFrame, *, id_col="doc_id", text_col="text", side=SIDE, sub=SU
     """(documents: id, digest, n; classes: digest, node, component)."""
     made = stage(sets(docs, id_col=id_col, text_col=text_col, side=side, sub=sub, shingle=shingle, seed=seed), "sets")
     known = made.filter("id IS NOT NULL AND digest IS NOT NULL")
-    parts = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), made.count() // 20_000)
+    parts = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), made.count() // CLASSES)
     classes = stage(known.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")).repartition(parts, "digest"), "classes")
 
     # Tables: keys that more than one class has, and their members.

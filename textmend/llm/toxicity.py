@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import arrow_map, table
 
 SAMPLE, LEXICON, FOLDS, MIN_DOCS, MIN_Z, MIN_LIFT = 20_000, 512, 5, 5, 5.0, 8.0
-BEAM, READINGS, CACHE = 24, 4, 100_000
+BEAM, READINGS, CACHE = 24, 4, 50_000
 EDGE, ALIEN, N_SYM = 26, 27, 28  # symbols after a-z: word edge, any other letter
 
 # Letters that a sign may stand for.

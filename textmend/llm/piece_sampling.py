@@ -45,7 +45,7 @@ from . import vocab
 from .common import arrow_map, table
 from .token_count import model_path
 
-TOP, ALPHA, SEED, LISTED, CACHE, SCALE = 2, 1.0, "pieces-1", 40, 180_000, 7.0
+TOP, ALPHA, SEED, LISTED, CACHE, SCALE = 2, 1.0, "pieces-1", 40, 120_000, 7.0
 
 
 _U = np.uint64
@@ -479,10 +479,10 @@ def decode(df: DataFrame, *, ids_col="ids", out_col="text", path: str | None = N
 
 
 def digest(encoded: DataFrame, id_col="doc_id") -> DataFrame:
-    """One row per text: each sample's length, digest of ids, log probability and inclusion."""
-    pieces = F.transform("samples", lambda s: F.sha2(F.array_join(F.transform(s["ids"], lambda i: i.cast("string")), ","), 256))
+    """One row per text: each sample's length, fingerprint of ids, log probability and inclusion."""
+    pieces = F.transform("samples", lambda s: F.xxhash64(s["ids"]))
     return encoded.select(
-        id_col, F.size("samples").alias("n_samples"), F.transform("samples", lambda s: F.size(s["ids"])).alias("n_pieces"), pieces.alias("ids_sha256"),
+        id_col, F.size("samples").alias("n_samples"), F.transform("samples", lambda s: F.size(s["ids"])).alias("n_pieces"), pieces.alias("ids_xxhash64"),
         F.transform("samples", lambda s: F.round(s["log_prob"], 6)).alias("log_prob"), F.transform("samples", lambda s: s["inclusion"]).alias("inclusion"),
     )
 

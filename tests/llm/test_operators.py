@@ -99,6 +99,17 @@ def test_samples_decode(spark, odd, empty):
     assert piece_sampling.encode(empty).count() == 0
 
 
+def test_workers_drop_what_other_operators_keep():
+    from textmend.llm import common
+
+    piece_sampling.sampler(model_path(), 1.0, 2)
+    common.release(piece_sampling.__name__)
+    assert piece_sampling.sampler.cache_info().currsize == 1
+    common.release(minhash_dedup.__name__)
+    assert piece_sampling.sampler.cache_info().currsize == 0
+    common.trim()
+
+
 def test_gif_round_trip(spark, odd, empty):
     r = random.Random(2)
     for _ in range(30):

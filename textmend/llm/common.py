@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,30 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: How to drop what an operator keeps in a worker from task to task, by the operator's module.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    _KEPT[owner] = drop
+
+
+def release(owner: str) -> None:
+    """Drop what operators other than ``owner`` keep in this worker."""
+    for name, drop in _KEPT.items():
+        if name != owner:
+            drop()
+
+
+def trim() -> None:
+    """Give memory that is free in this worker back to the system: idle workers live beside JVM stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
@@ -96,7 +123,14 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
         now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:  # unlimited, larger, or with another unit
             spark.conf.set(key, str(most))
-    return df.mapInArrow(run, schema)
+    owner = run.__module__
+
+    def tidy(batches):
+        release(owner)
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def ship(spark: SparkSession) -> None:

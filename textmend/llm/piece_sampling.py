@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vocab
-from .common import arrow_map, table
+from .common import arrow_map, keeps, table
 from .token_count import model_path
 
 TOP, ALPHA, SEED, LISTED, CACHE, SCALE = 2, 1.0, "pieces-1", 40, 120_000, 7.0
@@ -405,10 +405,13 @@ class Sampler:
 
 @lru_cache(maxsize=1)
 def sampler(path: str, alpha: float, k: int) -> Sampler:
-    """One per worker process, which serves many tasks."""
+    """One per worker process, which serves many tasks, until another operator runs there."""
     return Sampler(path, alpha, k)
 
 
+keeps(__name__, sampler.cache_clear)
+
+
 SAMPLES = T.ArrayType(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_prob", T.DoubleType()), T.StructField("inclusion", T.DoubleType())]))
 _ARROW = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())]))
 

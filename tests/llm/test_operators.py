@@ -219,6 +219,26 @@ def test_near_duplicates(spark, odd, empty, monkeypatch):
     assert minhash_dedup.drop_near_duplicates(df).count() == len({c for _, c in want.values()})
 
 
+def test_near_copies_of_quoted_passages(spark):
+    """Near copies meet although longer, earlier documents that quote their passage hold the least ids of its keys."""
+    r = random.Random(9)
+    rows, pairs = [], []
+    for f in range(3):
+        passage = [f"p{f}x{i}" for i in range(61)]
+        rows += [(f * 300 + k, " ".join(passage + [f"o{f}x{k}x{i}" for i in range(r.randint(48, 60))])) for k in range(300)]
+        for at, edits in enumerate(((10,), (30, 50))):
+            rows.append((10_000 + 2 * f + at, " ".join(f"e{f}x{i}" if i in edits else w for i, w in enumerate(passage))))
+        pairs.append((10_000 + 2 * f, 10_001 + 2 * f))
+    # Few short keys, so that some hundred documents are enough to hold the least id of each.
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), side=4, sub=1).collect()}
+    assert {k: v for k, v in got.items() if k != v} == {b: a for a, b in pairs}
+
+
+def test_size_classes_part_no_pair(spark):
+    by = {x.id: x.s for x in spark.range(1, 4000).select("id", minhash_dedup.size_class(F.col("id"), 80).alias("s")).collect()}
+    assert all(by[min(n * 100 // 80, 3999)] - by[n] in (0, 1) for n in by)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -10,9 +10,10 @@ SIDE = 12 and SUB = 3, two sets of similarity 0.8 share a table with probability
 Steps.  (1) One map over the texts gives set digests and sub-bands; equal sets become
 one class, named by its least doc_id, so copies cost nothing further.  (2) Table keys
 are counted with partial aggregation (a hot key is one row per task); keys that one
-class holds alone go.  (3) Each member of a key is tied to the key's least member, which
-is linear in the size of a key; ties whose sub-bands hardly agree go, and what hangs
-together is a family.  (4) A family's texts meet in one task, or block by block if there
+class holds alone go.  (3) The members of a key are parted by overlapping windows of set
+sizes, such that two sets that may be linked always have a window in common.  Each is
+tied to the least member of its window, which is linear in the size of a key and never
+parts a pair that shares a key; what hangs together is a family.  (4) A family's texts meet in one task, or block by block if there
 are many, and are compared exactly on full sets, except those that are in one component
 by then; no pair is ever a row.  In a family of several blocks, every block meets the
 least member first; then only members outside the largest component meet the rest.
@@ -26,22 +27,19 @@ equal rows fall into one class; extra columns are ignored; an empty table is fin
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WORD, arrow_map, bounded_broadcast, discard, stage, table
 from .components import components
 
 SIDE, SUB, SHINGLE, PERCENT = 12, 3, 2, 80
-#: Sub-bands of 2*SIDE that a candidate must share; at 0.8 fewer come once in 10^5 pairs.
-SHARED = 3
-#: Sizes in a family may differ more than in a link: its members need not be linked to each other.
-LOOSE = 0.8
 CACHE = 50_000
 _WORD = re.compile(WORD)
 _MASK = (1 << 64) - 1
@@ -95,6 +93,12 @@ def sub_bands(s: np.ndarray, xor: np.ndarray, mul: np.ndarray, sub: int) -> np.n
     return out
 
 
+def size_class(n: Column, percent: int) -> Column:
+    """Class of a set's size: sizes of two sets at ``percent`` are in one class or in neighbouring ones."""
+    # Classes are a little wider than the ratio, so that rounding parts no pair.
+    return F.floor(F.log(n.cast("double")) / math.log(max(100 / max(percent, 1), 1.01)) * (1 - 1e-9)).cast("int")
+
+
 def sets(docs: DataFrame, *, id_col, text_col, side, sub, shingle, seed) -> DataFrame:
     """(id, digest, n, bands): digest null where the set is empty."""
 
@@ -189,21 +193,19 @@ def link(docs: DataFrame, *, id_col="doc_id", text_col="text", side=SIDE, sub=SU
     parts = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), made.count() // CLASSES)
     classes = stage(known.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")).repartition(parts, "digest"), "classes")
 
-    # Tables: keys that more than one class has, and their members.
+    # Tables: keys that more than one class has, and their members by window of sizes.
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(side) for j in range(side)]))
     key = F.xxhash64("p.i", "p.j", F.element_at("bands", F.col("p.i") + 1), F.element_at("bands", F.col("p.j") + 1 + side))
-    rows = classes.select("node", "bands", at.alias("p")).select("node", key.alias("key"))
-    shared = stage(rows.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("z")).filter("c <> z").select("key", "c"), "keys")
-    star = stage(rows.join(shared, "key").filter("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    discard(shared)
-
-    # Families: what is connected by keys, after a look at sizes and shared sub-bands.
-    info = classes.groupBy("node").agg(F.max("n").alias("n"), F.max_by("bands", "n").alias("bands"))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent * LOOSE) & (
-        F.aggregate(F.zip_with("ba", "bb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= SHARED
-    )
-    i = lambda v: info.select(F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("bands").alias(f"b{v}"))
-    family = stage(components(star.join(i("a"), "a").join(i("b"), "b").filter(near)), "family")
+    rows = classes.select("node", size_class(F.col("n"), percent).alias("s"), "bands", at.alias("p")).select("node", "s", key.alias("key"))
+    shared = stage(rows.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("z")).filter("c <> z").select("key"), "keys")
+    window = F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("w")
+    members = stage(rows.join(shared, "key").select("key", "node", window).select(F.xxhash64("key", "w").alias("key"), "node"), "members")
+    least = stage(members.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("z")).filter("c <> z").select("key", "c"), "least")
+    star = stage(members.join(least, "key").filter("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "ties")
+    discard(shared, members, least)
+
+    # Families: what is connected by keys.
+    family = stage(components(star), "family")
     discard(star)
 
     # Within families every member is compared with every other, block by block.

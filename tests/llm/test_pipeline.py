@@ -28,3 +28,14 @@ def test_stages(spark):
     words = sum(len(r.text.split()) for r in by["mixing"][1].select("text").collect())
     assert words == sum(r.taken for r in mixing.mix(by["mixing"][0]).collect())
     assert by["pieces"][1].filter("NOT decodes").count() == 0 and by["pieces"][1].count() == by["mixing"][1].count()
+
+
+def test_near_dedup_stage_compares_five_words(spark):
+    """Scattered edits that two-word sets overlook keep a document."""
+    import corpus_pipeline as P
+
+    words = [f"w{i}" for i in range(100)]
+    edited = [f"e{i}" if i in (20, 50, 80) else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:-1]))]
+    kept = P.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]

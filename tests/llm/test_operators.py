@@ -336,6 +336,16 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, lab).count() == 0 and toxicity.score(odd, lab.withColumn("toxic", F.lit(None).cast("int"))).count() == 12
 
 
+def test_hidden_words_reach_the_lattice():
+    counts = sum(toxicity.trigram_counts("the idiot said scum and dumbass to an idiot of scum and dumbass here " * 20) for _ in range(1))
+    forms = {
+        "idiot": ["1d107", "idi07", "idio7", "idio7,", "idio7.", "idio7!", "(idio7)", "i  d  i  o  t", "i/d/i/o/t"], "scum": ['"5cum', '"5cum"', "5cum"], "dumbass": ["dumba$$", "dumba$$?"],
+    }
+    for word, hidden in forms.items():
+        for h in hidden:
+            assert word in toxicity.Restorer(toxicity.language_model(counts)).words(f"and {h} here"), h
+
+
 def test_queries_keep_their_contract(spark):
     import os
 

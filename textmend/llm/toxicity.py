@@ -2,8 +2,8 @@
 
 (1) A character trigram model is counted over every text of the corpus: partitions
 send their counts of 28^3 trigrams, whose sum is a table of fixed size.  (2) Spans that
-may hide a word (digits or signs among letters, a letter three times or more, single
-letters parted by blanks or dots) become lattices: a sign stands for the letters it
+may hide a word (tokens with a letter and a digit or sign, a letter three times or more, single
+letters parted by one or more separators) become lattices: a sign stands for the letters it
 resembles or for itself, a repeated letter for one or more, a separator for nothing or
 a word's end.  Beam Viterbi decoding under the character model keeps the best
 readings of each span.  (3) Words of the text and of its readings are looked up in a
@@ -46,10 +46,14 @@ SIGN, LITERAL, DROP, JOIN, PART = 1.0, 6.0, 0.7, 0.4, 1.5
 
 _S = re.escape("".join(LOOKS))
 WORDS = re.compile(r"[^\W\d_]+")
-#: A sign between letters, or before two letters at a token's start, or a digit or $ or @ after a letter.
-_SIGNED = re.compile(rf"[^\W\d_][{_S}]+[^\W\d_]|(?<!\S)[{_S}]+[^\W\d_]{{2}}|[^\W\d_][0-9@$](?!\S)")
+#: Tokens that hold a letter and a sign are looked at.
+_SIGNED, _LETTER = re.compile(rf"[{_S}]"), re.compile(r"[^\W\d_]")
+#: Marks around a token that stand for no letter, and signs that may be such marks as well.
+_OUTER, _MAYBE = ".,;:?\"'`)[]{}<>«»“”„‘’…", "!|+(*#"
 _RUN = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ ._*-][^\W_]){2,}(?![^\W_])")
+SEPARATORS = " \t._*-/\\|,~"
+_GAP = re.compile(rf"([{re.escape(SEPARATORS)}])[{re.escape(SEPARATORS)}]+")
+_SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:[{re.escape(SEPARATORS)}]+[^\W_]){{2,}}(?![^\W_])")
 _TOKEN_END = re.compile(r"\s|$")
 
 
@@ -122,7 +126,7 @@ def decode(span: str, lm: list[float], spaced: bool = False) -> list[str]:
                 put(cost, text, a, b, c, c)
                 if c == last:
                     put(cost + DROP, text, a, b, c, "")
-            elif spaced and c in " ._*-":
+            elif spaced and c in SEPARATORS:
                 put(cost + JOIN, text, a, b, last, "")
                 put(cost + PART, text, a, b, "", " ")
             else:
@@ -170,9 +174,13 @@ class Restorer:
                     a -= 1
                 z = _TOKEN_END.search(low, m.end()).start()
                 end = z
-                out.update(self._read(low[a:z].strip(".,;:?\"'"), False))
+                token = low[a:z].strip(_OUTER)
+                if not _LETTER.search(token):
+                    continue
+                for span in {token, token.strip(_OUTER + _MAYBE)}:
+                    out.update(self._read(span, False))
         for m in _SPACED.finditer(low):
-            out.update(self._read(m[0], True))
+            out.update(self._read(_GAP.sub(r"\1", m[0]), True))
         return out
 
 

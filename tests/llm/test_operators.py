@@ -70,9 +70,9 @@ def _segmentations(lat, text):
     return {k: v - z for k, v in d.items()}
 
 
-@pytest.mark.parametrize("listed", [40, 1])
-def test_samples_follow_the_lattice(monkeypatch, listed):
-    monkeypatch.setattr(piece_sampling, "LISTED", listed)
+@pytest.mark.parametrize("chars", [1 << 16, 1])
+def test_samples_follow_the_lattice(monkeypatch, chars):
+    monkeypatch.setattr(piece_sampling, "CHARS", chars)
     s, n = piece_sampling.Sampler(model_path(), 1.0, 2), 6000
     want = _segmentations(s.lat, "ab cd")
     pairs, total = collections.Counter(), 0.0
@@ -88,6 +88,34 @@ def test_samples_follow_the_lattice(monkeypatch, listed):
     assert abs(total / n - 1) < 0.01  # inclusion scores make the sample unbiased
 
 
+@pytest.mark.parametrize("alpha", [1.0, 6.0])
+def test_samples_of_any_length_are_exact(alpha):
+    """Units of 1 to 60 characters without a piece (2, 3 and 4 bytes), mixed with pieces: all decode, weights as by brute force."""
+    s = piece_sampling.Sampler(model_path(), alpha, 3)
+    odd = [c for c in ("\u0378", "\u07FF", "\u0BFF", "\uABCD", "\U0001D54F", "\U00020000") if c not in s.lat.v.ids]
+    assert {len(c.encode()) for c in odd} == {2, 3, 4}
+    texts = [c * n for c in odd for n in (1, 2, 38, 39, 40, 41, 60)] + ["ab" + c * n + "the" for c in odd for n in (1, 40)] + ["x" * 3000, "the" * 500]
+    one_by_one = [s([t], [i])[0] for i, t in enumerate(texts)]
+    together = piece_sampling.Sampler(model_path(), alpha, 3)(texts, list(range(len(texts))))
+    for text, got, same in zip(texts, one_by_one, together):
+        assert [(ids.tolist(), lp, inc) for ids, lp, inc in got] == [(ids.tolist(), lp, inc) for ids, lp, inc in same]
+        assert len({tuple(ids.tolist()) for ids, _, _ in got}) == len(got)
+        for ids, lp, inc in got:
+            assert piece_sampling.decode_ids(model_path(), ids) == text and lp <= 1e-9 and math.isfinite(lp) and 0 <= inc <= 1
+        if len(text) <= 8:
+            want = _segmentations(s.lat, text)
+            assert len(got) == min(3, len(want)) and all(abs(lp - want[tuple(ids.tolist())]) < 1e-8 for ids, lp, _ in got)
+
+
+def test_sample_fingerprints(spark):
+    rows = [(1, "the cat \u2581sat"), (2, None), (3, "x" * 99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("KEY", F.lit(1)).withColumn("text_", F.lit("t")).withColumn("Samples", F.lit(0))
+    out = piece_sampling.encode(df, verify=True, fingerprint=True).collect()
+    assert out[0].KEY == 1 and out[0].text_ == "t"
+    for r in out:
+        assert r.decodes and all(x.ids_sha256 == hashlib.sha256(np.array(x.ids, "<i4").tobytes()).hexdigest() for x in r.samples)
+
+
 def test_samples_decode(spark, odd, empty):
     out = piece_sampling.encode(odd, verify=True).collect()
     assert len(out) == 12 and all(r.decodes for r in out)

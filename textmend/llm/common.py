@@ -29,6 +29,20 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def fresh(taken, name: str) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it (case apart, as Spark reads names)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def without(columns, names) -> list[str]:
+    """``columns`` but for those that would clash with ``names``."""
+    low = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in low]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 

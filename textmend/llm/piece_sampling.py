@@ -15,8 +15,8 @@ is truncated at the popped one.  A step is a piece at a place of the lattice, dr
 its probability given the place (backward sums over the lattice).  No piece crosses
 a word start, so lattices are built per unit of text, for all new units of a batch at
 once, and kept by each worker (the first ``CACHE`` units; others for the batch).  All texts of a batch go through
-the search in step, so that draws and sums are array operations; units longer than
-``LISTED`` characters take a path whose cost is in proportion to their length.
+the search in step, so that draws and sums are array operations.  Weights of units of
+any length are summed in logarithms.
 
 Inclusion scores follow from the (k+1)-th Gumbel kappa: log(1 - exp(-exp(log p - kappa))).
 Draws are seeded by row key, never by position, so reruns and other partitionings
@@ -24,8 +24,9 @@ agree.
 
 Edge cases: null and empty texts have one segmentation, the empty one, of probability
 1; texts with fewer than k segmentations give them all, each with inclusion 1; null
-keys are a key of their own; equal keys with equal texts give equal results; extra
-columns are kept, except those named as the new ones.
+keys are a key of their own; equal keys with equal texts give equal results; a literal
+mark (U+2581) is read as the blank that it stands for, as by the library; extra columns
+are kept, whatever their names, except those named as the new ones.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +45,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vocab
-from .common import arrow_map, keeps, table
+from .common import arrow_map, fresh, keeps, table, without
 from .token_count import model_path
 
-TOP, ALPHA, SEED, LISTED, CACHE, SCALE = 2, 1.0, "pieces-1", 40, 120_000, 7.0
+TOP, ALPHA, SEED, CHARS, CACHE = 2, 1.0, "pieces-1", 1 << 16, 200_000
 
 
 _U = np.uint64
 _GOLD, _ONE = _U(0x9E3779B97F4A7C15), 2.0**-53
+#: Draws compare numbers of ``BITS`` bits; log probabilities are summed as whole multiples of 2^-32, so
+#: that sums are exact and do not depend on what else is in a batch.
+BITS, FIXED = 30, 2.0**32
 
 
 def _mix(x):
@@ -63,6 +69,12 @@ def _uniform(key: np.ndarray) -> np.ndarray:
     return ((_mix(key * _GOLD) >> _U(11)).astype(np.float64) + 0.5) * _ONE
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first[i] .. first[i] + n[i] - 1 of all i, one after the other."""
+    stop = np.cumsum(n)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(first - (stop - n), n)
+
+
 class Pairs:
     """A hash table from non-negative 64-bit keys to numbers, probed for whole arrays."""
 
@@ -110,48 +122,47 @@ class Lattice:
         self.byte_logp = alpha * (-math.log(len(order) + 1) - z)
         self.longest = max(map(len, v.ids))
         chars = sorted({c for p in v.ids for c in p})
-        self.char = {c: i for i, c in enumerate(chars)}
+        char = {c: i for i, c in enumerate(chars)}
         self.n = len(chars) + 1
+        self.code = np.full(0x110000, self.n - 1, np.int32)
+        self.code[[ord(c) for c in chars]] = np.arange(len(chars))
+        self.ascii = np.array([v.byte_id.get(x, v.unk) for x in range(0x80)], np.int64)
         nodes, edges, self.piece = {"": 0}, {}, [-1]
         for p, i in v.ids.items():
             for k in range(1, len(p) + 1):
                 if p[:k] not in nodes:
                     nodes[p[:k]] = len(nodes)
                     self.piece.append(-1)
-                    edges[nodes[p[: k - 1]] * self.n + self.char[p[k - 1]]] = nodes[p[:k]]
+                    edges[nodes[p[: k - 1]] * self.n + char[p[k - 1]]] = nodes[p[:k]]
             self.piece[nodes[p]] = i
         self.piece = np.array(self.piece)
         self.next = Pairs(list(edges), list(edges.values()))
 
-    def arcs(self, flat: str, end: np.ndarray):
-        """Start, length, id, log weight and UTF-8 bytes of every step in ``flat``; no step leaves its unit.
+    def arcs(self, flat: str, end: np.ndarray) -> list[tuple]:
+        """By length, longest first: (length, starts, ids, log weights) of every step in ``flat``; no step leaves its unit.
 
         ``end``: for each place, where its unit ends.  Characters without a piece
         have the id -1 - code point, or their byte's piece where that is one byte.
         """
-        get, none = self.char.get, self.n - 1
-        code = np.array([get(c, none) for c in flat], np.int64)
-        point = np.frombuffer(flat.encode("utf-32-le"), np.uint32).astype(np.int64)
-        wide = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
-        total = np.concatenate([[0], np.cumsum(wide)])
+        point = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = self.code[point]
         at, node, out = np.arange(len(flat)), np.zeros(len(flat), np.int64), []
         for d in range(1, self.longest + 1):
-            node = self.next.get(node * self.n + code[at + d - 1])
+            node = self.next.get(node * self.n + code[at + (d - 1)])
             ok = node >= 0
             piece = np.where(ok, self.piece[node], -1)
+            hit = np.flatnonzero(piece >= 0)
             if d == 1:
                 lone = np.flatnonzero(piece < 0)
-                byte = np.array([self.v.byte_id.get(int(x), self.v.unk) if x < 0x80 else -1 - int(x) for x in point[lone]], np.int64)
-                out.append((at[lone], np.ones(len(lone), np.int64), byte, wide[lone] * self.byte_logp))
-            hit = piece >= 0
-            out.append((at[hit], np.full(hit.sum(), d), piece[hit], self.logp[piece[hit]]))
-            at, node = at[ok], node[ok]
-            inside = at + d < end[at]
-            at, node = at[inside], node[inside]
+                p = point[lone]
+                wide = 1 + (p > 0x7F) + (p > 0x7FF) + (p > 0xFFFF)
+                out.append((1, lone, np.where(p < 0x80, self.ascii[np.minimum(p, 0x7F)], -1 - p), wide * self.byte_logp))
+            out.append((d, at[hit], piece[hit], self.logp[piece[hit]]))
+            go = np.flatnonzero(ok & (at + d < end[at]))
+            at, node = at[go], node[go]
             if not len(at):
                 break
-        start, size, ids, logw = (np.concatenate(x) for x in zip(*out))
-        return start, size, ids, logw, total[start + size] - total[start]
+        return out[::-1]
 
 
 class Store:
@@ -161,10 +172,10 @@ class Store:
     a draw looks at one or two of them.
     """
 
-    KINDS = {"next": np.int32, "id": np.int32, "place": np.int32, "cum": np.float32, "rest": np.float32, "logp": np.float64}
+    KINDS = {"next": np.int32, "id": np.int32, "place": np.int32, "cum": np.int32, "rest": np.float32, "logp": np.float64}
 
     def __init__(self, lat: Lattice):
-        self.lat, self.unit = lat, {}
+        self.lat = lat
         self.n_places = self.n_steps = 0
         self.first = np.zeros(1 << 16, np.int32)  # step of a place; one more at the end
         self.steps = {k: np.zeros(1 << 18, kind) for k, kind in self.KINDS.items()}
@@ -179,100 +190,91 @@ class Store:
         old[at : at + len(new)] = new
         return old
 
-    def add(self, units: list[str]) -> None:
-        marked = [u.replace(" ", vocab.MARK) for u in units]
-        for u, m in zip(units, marked):
-            if len(m) > LISTED:
-                self._append([u], m, np.array([len(m)]))
-        short = [i for i, m in enumerate(marked) if len(m) <= LISTED]
-        for k in range(0, len(short), 8192):
-            part = short[k : k + 8192]
-            self._append([units[i] for i in part], "".join(marked[i] for i in part), np.array([len(marked[i]) for i in part]))
-
-    def _append(self, units, flat, size) -> None:
-        begin = np.cumsum(size) - size
-        end = np.repeat(begin + size, size)
-        start, length, ids, logw, wide = self.lat.arcs(flat, end)
-        dist = (end - np.arange(len(flat)))[start]
-        if size.max() <= LISTED:
-            cond = self._short(start, length, logw, wide, dist, len(flat), int(size.max()))
-        else:
-            cond = self._long(start, length, logw, len(flat))
-        order = np.argsort(start - 0.999 * cond, kind="stable")
-        start, length, ids, cond = start[order], length[order], ids[order], cond[order]
-        n = np.bincount(start, minlength=len(flat))
-        first = np.cumsum(n) - n
-        run = np.cumsum(cond)
-        cum = run - np.repeat(run[first] - cond[first], n)
-        cum[first + n - 1] = 2.0  # the last choice takes what rounding leaves
-        base, old, place = self.n_places, self.n_steps, start + length
-        # Log probability of any other choice at the place; none where there is no other.
-        rest = np.where(np.repeat(n, n) > 1, np.log(np.maximum(1.0 - cond, 1e-300)), -np.inf)
-        new = {"rest": rest, "next": np.where(place < end[start], place + base, -1), "id": ids, "place": start + base, "cum": cum, "logp": np.log(np.maximum(cond, 1e-300))}
-        self.steps = {k: self._put(a, old, new[k]) for k, a in self.steps.items()}
-        self.first = self._put(self.first, base, np.append(first, len(ids)) + old)
-        self.n_places, self.n_steps = base + len(flat), old + len(ids)
-        self.unit.update(zip(units, (begin + base).tolist()))
-
-    @staticmethod
-    def _short(start, length, logw, wide, dist, n, longest):
-        """Probability of each step given its place: sums over paths to the unit's end, nearest places first.
-
-        Weights are scaled by ``SCALE`` a byte, the same for all paths, to stay in range.
-        """
-        order = np.argsort(dist * n + start, kind="stable")
-        s, e = start[order], (start + length)[order]
-        w = np.exp(logw + SCALE * wide)[order]
-        back = np.ones(n + 1)
-        bound = np.searchsorted(dist[order], np.arange(1, longest + 2))
-        inner = (length < dist)[order]
-        val = np.empty(len(s))
-        for a, b in zip(bound[:-1], bound[1:]):
-            if a < b:
-                val[a:b] = w[a:b] * np.where(inner[a:b], back[e[a:b]], 1.0)
-                head = np.flatnonzero(np.r_[True, s[a + 1 : b] != s[a : b - 1]])
-                back[s[a:b][head]] = np.add.reduceat(val[a:b], head)
-        out = np.empty(len(s))
-        out[order] = val / back[s]
+    def add(self, units: list[str]) -> np.ndarray:
+        """First places of new units, whose lattices are made as many at once as fit in ``CHARS`` characters."""
+        out, part, size = np.empty(len(units), np.int64), [], 0
+        for i in np.argsort([-len(u) for u in units], kind="stable").tolist():
+            if part and size + len(units[i]) > CHARS:
+                out[part] = self._append([units[j] for j in part])
+                part, size = [], 0
+            part.append(i)
+            size += len(units[i])
+        if part:
+            out[part] = self._append([units[j] for j in part])
         return out
 
-    @staticmethod
-    def _long(start, length, logw, n):
-        """The same for one long unit, in logarithms, place by place."""
-        order = np.lexsort((length, start))
-        s, e, w = start[order], (start + length)[order], logw[order]
-        first = np.searchsorted(s, np.arange(n + 1)).tolist()
-        e, w, back, val = e.tolist(), w.tolist(), [0.0] * (n + 1), [0.0] * len(s)
-        for i in range(n - 1, -1, -1):
-            part = [w[j] + back[e[j]] for j in range(first[i], first[i + 1])]
-            top = max(part)
-            back[i] = top + math.log(sum(math.exp(x - top) for x in part))
-            val[first[i] : first[i + 1]] = [math.exp(x - back[i]) for x in part]
-        out = np.empty(len(s))
-        out[order] = val
-        return out
+    def _append(self, units: list[str]) -> np.ndarray:
+        """Lattices of units by falling length, so that those still open at a distance from their end come first."""
+        size = np.array([len(u) for u in units])
+        stop = np.cumsum(size)
+        end = np.repeat(stop, size)
+        arcs = self.lat.arcs("".join(units).replace(" ", vocab.MARK), end)
+        total = len(end)
+        n = np.zeros(total, np.int64)
+        for _, start, _, _ in arcs:
+            n[start] += 1  # a place has one step of a length
+        first = np.cumsum(n) - n
+        fill, m = first.copy(), int(n.sum())
+        to, ids, logw, at = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m), np.repeat(np.arange(total), n)
+        for length, start, piece, w in arcs:
+            k = fill[start]
+            fill[start] += 1
+            to[k], ids[k], logw[k] = start + length, piece, w
+        # A place at a unit's end has the sum 0; it is also the next unit's first place, so ends are told apart.
+        inner = to < end[at]
+        back = np.zeros(total + 1)
+        small, to_ = -size, np.where(inner, to, total)  # back[total] stays 0
+        for d in range(1, int(size[0]) + 1):
+            place = stop[: np.searchsorted(small, -d, side="right")] - d
+            k = _spread(first[place], n[place])
+            val = logw[k] + back[to_[k]]
+            head = np.cumsum(n[place]) - n[place]
+            top = np.maximum.reduceat(val, head)
+            back[place] = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, n[place])), head))
+        logp = logw + back[to_] - back[at]
+        cond = np.exp(logp)
+        run = np.cumsum(np.rint(cond * (1 << BITS)).astype(np.int64))
+        cum = run - np.repeat(np.concatenate([[0], run])[first], n)
+        cum[first + n - 1] = (1 << BITS) + 1  # the last choice takes what rounding leaves
+        # Log probability of any other choice at the place: for the likeliest by a sum over the others, never by 1 - p.
+        best = np.flatnonzero(logp == np.repeat(np.maximum.reduceat(logp, first), n))
+        best = best[np.r_[True, at[best[1:]] != at[best[:-1]]]]
+        others = logp.copy()
+        others[best] = -np.inf
+        second = np.maximum.reduceat(others, first)
+        some = second > -np.inf
+        floor = np.where(some, second, 0.0)
+        tail = np.add.reduceat(np.exp(others - np.repeat(floor, n)), first)
+        rest = np.log1p(-np.minimum(cond, 0.75))
+        rest[best] = np.where(some, floor + np.log(np.where(some, tail, 1.0)), -np.inf)
+        base, old = self.n_places, self.n_steps
+        new = {"rest": rest, "next": np.where(inner, to + base, -1), "id": ids, "place": at + base, "cum": cum, "logp": logp}
+        self.steps = {k: self._put(a, old, new[k]) for k, a in self.steps.items()}
+        self.first = self._put(self.first, base, np.append(first, m) + old)
+        self.n_places, self.n_steps = base + total, old + m
+        return stop - size + base
 
     def draw(self, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Steps drawn from each place to its unit's end, in order, and how many each has."""
-        got, who = [], []
-        row = np.arange(len(place))
-        cum, nxt = self.steps["cum"], self.steps["next"]
-        t = 0
+        got, who, row, n = [], [], np.arange(len(place)), np.zeros(len(place), np.int64)
+        cum, nxt, shift, t = self.steps["cum"], self.steps["next"], _U(64 - BITS), 0
         while len(row):
-            step, u = self.first[place], _uniform(key + _U(t)).astype(np.float32)
+            step, u = self.first[place], (_mix((key + _U(t)) * _GOLD) >> shift).astype(np.int32)
             more = np.flatnonzero(u >= cum[step])
             while len(more):
                 step[more] += 1
                 more = more[u[more] >= cum[step[more]]]
             got.append(step)
             who.append(row)
+            t += 1
+            n[row] = t
             to = nxt[step]
-            on = to >= 0
-            place, key, row, t = to[on], key[on], row[on], t + 1
-        if not got:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        who = np.concatenate(who)
-        return np.concatenate(got)[np.argsort(who, kind="stable")], np.bincount(who)
+            on = np.flatnonzero(to >= 0)
+            place, key, row = to[on], key[on], row[on]
+        first, out = np.cumsum(n) - n, np.empty(int(n.sum()), np.int64)
+        for t, (step, row) in enumerate(zip(got, who)):
+            out[first[row] + t] = step
+        return out, n
 
     def ids(self, steps: np.ndarray) -> np.ndarray:
         """Piece ids of steps; characters without a piece become their bytes' pieces."""
@@ -283,89 +285,114 @@ class Store:
         return out.astype(np.int32)
 
 
-class _Row:
-    __slots__ = ("units", "key", "found", "agenda", "serial")
+@dataclass
+class _Set:
+    """Paths with a common prefix that choose at ``spot`` none of ``taboo``; spot -1: all paths of the text."""
+
+    gumbel: float
+    found: int = -1  # the sample whose first ``cut`` steps are the prefix
+    cut: int = 0
+    logp: int = 0  # of the prefix, in units of 1 / FIXED
+    spot: int = -1
+    taboo: tuple = ()
+    unit: int = 0
+
+
+def _least(size: np.ndarray, first: np.ndarray, n: np.ndarray, k: int):
+    """Places of the k least of each run of ``size``, round by round; infinite ones are none."""
+    size = size.copy()
+    some = np.flatnonzero(n > 0)
+    first, n = first[some], n[some]
+    for _ in range(k):
+        low = np.minimum.reduceat(size, first) if len(first) else np.empty(0)
+        at = np.flatnonzero(size == np.repeat(low, n))
+        owner = np.searchsorted(first, at, side="right") - 1
+        lead = np.r_[True, owner[1:] != owner[:-1]] if len(at) else np.empty(0, bool)
+        at, owner = at[lead], owner[lead]
+        fine = size[at] < np.inf
+        yield from zip(some[owner[fine]].tolist(), at[fine].tolist())
+        size[at] = np.inf
 
 
 def sample(store: Store, texts: list[np.ndarray], seeds: np.ndarray, k: int) -> list[list[tuple]]:
     """For each text (its units' first places) up to k (steps, log p, inclusion), by falling Gumbel.
 
-    All texts of the list go through the search in step: each round pops every
-    text's best set, draws all of them together and pushes what is left of each.
+    All texts of the list go through the search in step: each round pops every text's
+    best set, draws all of them together and pushes what is left of each, the k
+    greatest at most (no more can be popped).
     """
-    first, logp = store.first, store.steps["logp"]
-    rows = []
-    jobs = []  # (row, Gumbel, prefix steps, log p before, place to choose at or -1, taboo, unit)
-    for units, seed in zip(texts, seeds):
-        r = _Row()
-        r.units, r.key, r.found, r.agenda, r.serial = units, _mix(np.array([seed], np.uint64)), [], [], 0
-        rows.append(r)
-        g = -math.log(-math.log(float(_uniform(r.key)[0])))
-        jobs.append((r, g, np.empty(0, np.int64), 0.0, -1, (), 0))
-    none = np.empty(0, np.int64)
+    first, logp, rest, nxt, where = store.first, store.steps["logp"], store.steps["rest"], store.steps["next"], store.steps["place"]
+    rows = _mix(np.asarray(seeds, np.uint64))
+    found: list[list[tuple]] = [[] for _ in texts]
+    agenda: list[list[tuple]] = [[] for _ in texts]
+    jobs = [(i, _Set(float(g))) for i, g in enumerate(-np.log(-np.log(_uniform(rows))))]
+    serial = 0
     for turn in range(k):
-        place, key, heads, counts = [], [], [], []
-        for r, g, prefix, lp, spot, taboo, unit in jobs:
-            seed = _mix(r.key + _U(turn + 1))
-            rest = unit
-            head, cont = [], []
-            if spot >= 0:  # one choice at this place, none of those taken before
-                free = [c for c in range(first[spot], first[spot + 1]) if c not in taboo]
+        if not jobs:
+            break
+        own = rows[[i for i, _ in jobs]]
+        seed = _mix(own + _U(turn + 1))
+        heads, todo, begin = [], [], []
+        for (i, s), x in zip(jobs, _uniform(seed + _U(1)).tolist()):
+            head, part = -1, texts[i][s.unit :]
+            if s.spot >= 0:  # one choice at this place, none of those taken before
+                free = [c for c in range(first[s.spot], first[s.spot + 1]) if c not in s.taboo]
                 p = np.cumsum(np.exp(logp[free] - logp[free].max()))
-                u = float(_uniform(seed + _U(1))[0])
-                c = free[min(int(np.searchsorted(p / p[-1], u, side="right")), len(free) - 1)]
-                head = [c]
-                if store.steps["next"][c] >= 0:
-                    cont = [store.steps["next"][c]]
-                rest = unit + 1
-            todo = np.concatenate([np.array(cont, np.int64), r.units[rest:]]) if cont else r.units[rest:]
-            place.append(todo)
-            no = np.arange(rest - len(cont), len(r.units), dtype=np.uint64)
-            key.append(_mix(no * _GOLD + seed) + _U(2))
+                head = free[min(int(np.searchsorted(p / p[-1], x, side="right")), len(free) - 1)]
+                part = texts[i][s.unit + 1 :]
+                if nxt[head] >= 0:
+                    part = np.concatenate([[nxt[head]], part])
             heads.append(head)
-            counts.append(len(todo))
-        steps, per = store.draw(np.concatenate(place), np.concatenate(key)) if jobs else (none, none)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        offs = np.concatenate([[0], np.cumsum(per)])
-        for j, (r, g, prefix, lp, spot, taboo, unit) in enumerate(jobs):
-            a, b = offs[bounds[j]], offs[bounds[j + 1]]
-            tail, n = steps[a:b], per[bounds[j] : bounds[j + 1]]
-            begin = unit if spot < 0 or (heads[j] and store.steps["next"][heads[j][0]] >= 0) else unit + 1
-            if heads[j]:
-                tail = np.concatenate([heads[j], tail]).astype(np.int64)
-            before = lp + np.concatenate([[0.0], np.cumsum(logp[tail])])
-            whole = np.concatenate([prefix, tail])
-            r.found.append((g, whole, float(before[-1])))
-            # The other choices at each step of the tail, as sets: log mass, then greatest Gumbel.
-            loc = before[:-1] + store.steps["rest"][tail]
-            if heads[j]:
-                left = [c for c in range(first[spot], first[spot + 1]) if c not in taboo and c != tail[0]]
-                loc[0] = lp + math.log(math.fsum(np.exp(logp[left]))) if left else -math.inf
-            if len(loc):
-                # G = loc - log(exp(loc - g) + E) falls as E exp(-loc) rises, so only the best need be worked out.
-                e = -np.log(_uniform(_mix(np.arange(len(loc), dtype=np.uint64) * _GOLD + ~_mix(r.key + _U(turn + 1)))))
-                size = np.log(e) - loc
-                top = np.argpartition(size, k - 1)[:k] if len(loc) > k else np.arange(len(loc))
-                ends = np.cumsum(n)
-                for at in top.tolist():
-                    if loc[at] == -np.inf:
-                        continue
-                    gum = loc[at] - math.log(math.exp(min(loc[at] - g, 700.0)) + e[at])
-                    own = at == 0 and heads[j]
-                    tab = (*taboo, int(tail[0])) if own else (int(tail[at]),)
-                    of = unit if own else begin + int(np.searchsorted(ends, at - len(heads[j]), side="right"))
-                    r.serial += 1
-                    heapq.heappush(r.agenda, (-float(gum), r.serial, whole[: len(prefix) + at], float(before[at]), int(store.steps["place"][tail[at]]), tab, of))
-        if turn + 1 < k:
-            jobs = []
-            for r in rows:
-                if r.agenda:
-                    g, _, prefix, lp, spot, tab, unit = heapq.heappop(r.agenda)
-                    jobs.append((r, -g, prefix, lp, spot, tab, unit))
+            todo.append(part)
+            begin.append(len(texts[i]) - len(part))
+        n_units = np.array([len(p) for p in todo])
+        job_of = np.repeat(np.arange(len(jobs)), n_units)
+        no = _spread(np.array(begin), n_units)  # number of each unit in its text
+        steps, per = store.draw(np.concatenate(todo).astype(np.int64), _mix(no.astype(np.uint64) * _GOLD + seed[job_of]) + _U(2))
+        of_unit = np.repeat(no, per)
+        n = np.bincount(job_of, weights=per, minlength=len(jobs)).astype(np.int64)
+        begin = np.cumsum(n) - n
+        # Log probabilities of what precedes each step, exactly: head and prefix first.
+        whole = np.rint(logp[steps] * FIXED).astype(np.int64)
+        run = np.cumsum(whole) - whole
+        base = np.array([s.logp + (round(float(logp[h]) * FIXED) if h >= 0 else 0) for (_, s), h in zip(jobs, heads)], np.int64)
+        before = run - np.repeat(np.concatenate([run, [0]])[begin] - base, n) if len(steps) else run
+        loc = before / FIXED + rest[steps]
+        # G = loc - log(exp(loc - g) + E) falls as E exp(-loc) rises, so only the least of these need be worked out.
+        salt = ~_mix(own + _U(turn + 1))
+        place = _spread(np.ones(len(jobs), np.int64), n).astype(np.uint64)  # 0 is the head's
+        e = -np.log(_uniform(_mix(place * _GOLD + np.repeat(salt, n))))
+        head_e = -np.log(_uniform(_mix(salt)))
+        push: list[list[_Set]] = [[] for _ in jobs]
+        for j, at in _least(np.log(e) - loc, begin, n, k - turn):
+            i, s = jobs[j]
+            g = loc[at] - math.log(math.exp(min(loc[at] - s.gumbel, 700.0)) + e[at])
+            cut = s.cut + (heads[j] >= 0) + int(at - begin[j])
+            push[j].append(_Set(float(g), len(found[i]), cut, int(before[at]), int(where[steps[at]]), (int(steps[at]),), int(of_unit[at])))
+        jobs_, jobs = jobs, []
+        for j, (i, s) in enumerate(jobs_):
+            tail = steps[begin[j] : begin[j] + n[j]]
+            prefix = found[i][s.found][1][: s.cut] if s.found >= 0 else tail[:0]
+            mass = int(base[j]) + int(whole[begin[j] : begin[j] + n[j]].sum())
+            if heads[j] >= 0:
+                tail = np.concatenate([prefix, [heads[j]], tail])
+                taboo = (*s.taboo, heads[j])
+                left = [c for c in range(first[s.spot], first[s.spot + 1]) if c not in taboo]
+                if left:
+                    top = float(logp[left].max())
+                    l0 = s.logp / FIXED + top + math.log(math.fsum(np.exp(logp[left] - top)))
+                    g = l0 - math.log(math.exp(min(l0 - s.gumbel, 700.0)) + head_e[j])
+                    push[j].append(_Set(float(g), len(found[i]), s.cut, s.logp, s.spot, taboo, s.unit))
+            found[i].append((s.gumbel, tail, mass / FIXED))
+            for x in push[j]:
+                serial += 1
+                heapq.heappush(agenda[i], (-x.gumbel, serial, x))
+            if turn + 1 < k and agenda[i]:
+                jobs.append((i, heapq.heappop(agenda[i])[2]))
     out = []
-    for r in rows:
-        kappa = -r.agenda[0][0] if r.agenda else -math.inf
-        out.append([(s, lp, 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(lp - kappa, 700.0)))) for _, s, lp in r.found])
+    for got, left in zip(found, agenda):
+        kappa = -left[0][0] if left else -math.inf
+        out.append([(s, lp, 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(lp - kappa, 700.0)))) for _, s, lp in got])
     return out
 
 
@@ -378,28 +405,36 @@ def row_seed(seed: str, key) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "little")
 
 
+class _Numbers(dict):
+    """Units by number, new ones as they are asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        return n
+
+
 class Sampler:
     """Samples texts; lattices of the first ``CACHE`` units it meets are kept, others for one call."""
 
     def __init__(self, path: str, alpha: float, k: int):
         self.lat, self.k = lattice(path, alpha), k
-        self.store = Store(self.lat)
+        self.store, self.number, self.places = Store(self.lat), _Numbers(), np.empty(0, np.int64)
 
     def __call__(self, texts: list[str], seeds: list[int]) -> list[list[tuple]]:
-        units = [self.lat.v.units(t) if t else [] for t in texts]
-        new, spare = sorted(set().union(*units).difference(self.store.unit)), []
-        if new:
-            room = max(0, CACHE - len(self.store.unit))
-            self.store.add(new[:room])
-            mark, spare = (self.store.n_places, self.store.n_steps), new[room:]
-            self.store.add(spare)
-        get = self.store.unit.__getitem__
-        places = [np.fromiter(map(get, u), np.int64, len(u)) for u in units]
-        out = [[(self.store.ids(s), lp, inc) for s, lp, inc in got] for got in sample(self.store, places, np.array(seeds, np.uint64), self.k)]
-        if spare:
-            self.store.n_places, self.store.n_steps = mark
-            for u in spare:
-                del self.store.unit[u]
+        known, get = len(self.number), self.number.__getitem__
+        each = []
+        for t in texts:
+            units = self.lat.v.units(t) if t else []
+            each.append(np.fromiter(map(get, units), np.int64, len(units)))
+        new = list(islice(reversed(self.number), len(self.number) - known))[::-1]
+        room = max(0, CACHE - known)
+        self.places = np.concatenate([self.places, self.store.add(new[:room])])
+        mark, spare = (self.store.n_places, self.store.n_steps), new[room:]
+        places = np.concatenate([self.places, self.store.add(spare)])
+        out = [[(self.store.ids(s), lp, inc) for s, lp, inc in got] for got in sample(self.store, [places[u] for u in each], np.array(seeds, np.uint64), self.k)]
+        self.store.n_places, self.store.n_steps = mark
+        for u in spare:
+            del self.number[u]
         return out
 
 
@@ -412,63 +447,74 @@ def sampler(path: str, alpha: float, k: int) -> Sampler:
 keeps(__name__, sampler.cache_clear)
 
 
-SAMPLES = T.ArrayType(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_prob", T.DoubleType()), T.StructField("inclusion", T.DoubleType())]))
-_ARROW = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())]))
+_FIELDS = [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("log_prob", T.DoubleType(), pa.float64()), ("inclusion", T.DoubleType(), pa.float64()), ("ids_sha256", T.StringType(), pa.string())]
 
 
-def encode(docs: DataFrame, *, id_col="doc_id", text_col="text", k: int = TOP, alpha: float = ALPHA, seed: str = SEED, path: str | None = None, verify: bool = False, carry: list[str] | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame, *, id_col="doc_id", text_col="text", k: int = TOP, alpha: float = ALPHA, seed: str = SEED, path: str | None = None, verify: bool = False, fingerprint: bool = False,
+    carry: list[str] | None = None,
+) -> DataFrame:
     """``docs`` (its columns in ``carry``, all by default) with samples: array<struct<ids, log_prob, inclusion>>, in order of being drawn.
 
-    ``verify`` adds decodes: whether every sample decodes to the text.
+    ``verify`` adds decodes: whether every sample decodes to the text (a literal mark
+    counts as the blank that it encodes).  ``fingerprint`` adds ids_sha256 to each
+    sample: the hex digest of its ids as little-endian 32-bit numbers.
     """
     path = path or model_path()
-    new = {"samples"} | ({"decodes"} if verify else set())
-    keep = [c for c in (docs.columns if carry is None else carry) if c not in new]
+    new = ["samples"] + ["decodes"] * verify
+    keep = without(docs.columns if carry is None else carry, new)
+    fields = _FIELDS if fingerprint else _FIELDS[:3]
 
     def run(batches):
-        draw = sampler(path, alpha, k)
+        draw, n = sampler(path, alpha, k), len(keep)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n = len(keep)
-                sizes, lens, ids, lps, incs = [0], [0], [], [], []
-                seeds = [row_seed(seed, x) for x in part.column(n).to_pylist()]
                 texts = [t or "" for t in part.column(n + 1).to_pylist()]
-                same = []
-                for text, got in zip(texts, draw(texts, seeds)):
-                    if verify:
-                        same.append(all(decode_ids(path, one.tolist()) == text for one, _, _ in got))
-                    for one, lp, inc in got:
-                        ids.append(one)
-                        lens.append(lens[-1] + len(one))
-                        lps.append(lp)
-                        incs.append(inc)
-                    sizes.append(sizes[-1] + len(got))
-                flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-                one = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(lens, pa.int32()), flat), pa.array(lps, pa.float64()), pa.array(incs, pa.float64())], fields=list(_ARROW.value_type))
-                cols = [*[part.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), one)]
-                yield pa.RecordBatch.from_arrays(cols + ([pa.array(same, pa.bool_())] if verify else []), names=[*keep, "samples", *(["decodes"] if verify else [])])
-
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("samples", SAMPLES), *([T.StructField("decodes", T.BooleanType())] if verify else [])])
-    return arrow_map(docs.select(*keep, F.col(id_col).alias("__key"), F.col(text_col).alias("__text")), run, schema)
+                got = draw(texts, [row_seed(seed, x) for x in part.column(n).to_pylist()])
+                flat = [one for row in got for one in row]
+                ids = [one[0] for one in flat]
+                starts = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                cols = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64())]
+                if fingerprint:
+                    cols.append(pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()))
+                one = pa.StructArray.from_arrays(cols, fields=[pa.field(f, a) for f, _, a in fields])
+                out = [*[part.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), one)]
+                if verify:
+                    want = [t.replace(vocab.MARK, " ").encode("utf-8", "surrogatepass") for t in texts]
+                    out.append(pa.array([all(decoded_bytes(path, x[0]) == w for x in row) for row, w in zip(got, want)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, names=[*keep, *new])
+
+    samples = T.ArrayType(T.StructType([T.StructField(f, s) for f, s, _ in fields]))
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("samples", samples), *([T.StructField("decodes", T.BooleanType())] if verify else [])])
+    return arrow_map(docs.select(*keep, F.col(id_col).alias(fresh(keep, "key")), F.col(text_col).alias(fresh(keep, "text"))), run, schema)
 
 
 @lru_cache(maxsize=2)
-def _bytes_of(path: str) -> list[bytes]:
+def _bytes_of(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 of all pieces in a row, marks as blanks; where each begins, and its length."""
     v = vocab.load(path)
     byte = {i: bytes([b]) for b, i in v.byte_id.items()}
-    return [byte[i] if i in byte else p.encode() for i, p in enumerate(v.pieces)]
+    each = [byte[i] if i in byte else p.replace(vocab.MARK, " ").encode() for i, p in enumerate(v.pieces)]
+    size = np.array([len(x) for x in each])
+    return np.frombuffer(b"".join(each), np.uint8), np.cumsum(size) - size, size
+
+
+def decoded_bytes(path: str, ids) -> bytes:
+    """UTF-8 of the text of piece ids: byte pieces joined to characters, marks to blanks, the first dropped."""
+    flat, first, size = _bytes_of(path)
+    ids = np.asarray(ids, np.int64)
+    return flat[_spread(first[ids], size[ids])].tobytes()[1:]
 
 
-def decode_ids(path: str, ids: list[int]) -> str:
-    """The text of piece ids: byte pieces joined to characters, marks to blanks, the first dropped."""
-    return b"".join(map(_bytes_of(path).__getitem__, ids)).decode(errors="replace").replace(vocab.MARK, " ")[1:]
+def decode_ids(path: str, ids) -> str:
+    return decoded_bytes(path, ids).decode(errors="replace")
 
 
 def decode(df: DataFrame, *, ids_col="ids", out_col="text", path: str | None = None) -> DataFrame:
     """``df`` with the text of a column of piece ids (null ids: null)."""
     path = path or model_path()
-    keep = [c for c in df.columns if c != out_col]
+    keep = without(df.columns, [out_col])
 
     def run(batches):
         for batch in batches:
@@ -478,17 +524,16 @@ def decode(df: DataFrame, *, ids_col="ids", out_col="text", path: str | None = N
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(text, pa.string())], names=[*keep, out_col])
 
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out_col, T.StringType())])
-    return arrow_map(df.select(*keep, F.col(ids_col).alias("__ids")), run, schema)
+    return arrow_map(df.select(*keep, F.col(ids_col).alias(fresh(keep, "ids"))), run, schema)
 
 
 def digest(encoded: DataFrame, id_col="doc_id") -> DataFrame:
-    """One row per text: each sample's length, fingerprint of ids, log probability and inclusion."""
-    pieces = F.transform("samples", lambda s: F.xxhash64(s["ids"]))
+    """One row per text: whether it decodes, and each sample's length, fingerprint of ids, log probability and inclusion."""
     return encoded.select(
-        id_col, F.size("samples").alias("n_samples"), F.transform("samples", lambda s: F.size(s["ids"])).alias("n_pieces"), pieces.alias("ids_xxhash64"),
-        F.transform("samples", lambda s: F.round(s["log_prob"], 6)).alias("log_prob"), F.transform("samples", lambda s: s["inclusion"]).alias("inclusion"),
+        id_col, F.size("samples").alias("n_samples"), F.transform("samples", lambda s: F.size(s["ids"])).alias("n_pieces"), F.transform("samples", lambda s: s["ids_sha256"]).alias("ids_sha256"),
+        F.transform("samples", lambda s: F.round(s["log_prob"], 6)).alias("log_prob"), F.transform("samples", lambda s: s["inclusion"]).alias("inclusion"), "decodes",
     )
 
 
 def op3_piece_sampling(spark, sf_dir) -> DataFrame:
-    return digest(encode(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+    return digest(encode(table(spark, sf_dir, "documents"), carry=["doc_id"], verify=True, fingerprint=True))

@@ -5,18 +5,19 @@ send their counts of 28^3 trigrams, whose sum is a table of fixed size.  (2) Spa
 may hide a word (tokens with a letter and a digit or sign, a letter three times or more, single
 letters parted by one or more separators) become lattices: a sign stands for the letters it
 resembles or for itself, a repeated letter for one or more, a separator for nothing or
-a word's end.  Beam Viterbi decoding under the character model keeps the best
-readings of each span.  (3) Words of the text and of its readings are looked up in a
+a word's end.  Viterbi decoding under the character model, with the ``READINGS`` best texts
+in each state, gives the best readings of each whole span, exactly.  (3) Words of the text and of its readings are looked up in a
 lexicon of word weights, and a Bernoulli naive Bayes model gives the score.
 
-The lexicon is learned from labelled rows: a bounded sample of ``SAMPLE`` ids by hash
-order, at most ``LEXICON`` words whose share among toxic texts is significantly above
-that among others.  Near-constant evidence keeps the number of words small.
+The lexicon is learned from labelled rows: about ``SAMPLE`` ids at most, those below a
+threshold of their hash; at most ``LEXICON`` words whose share among toxic texts is
+significantly above that among others, the most significant first.
 
 Edge cases: null and empty texts hold no words and get the score of that; null labels
 and labels of unknown ids are ignored, a doc_id labelled twice counts as toxic if one
 label says so; without labels of both kinds every score is 0; repeated rows get equal
-scores; very long texts are scanned whole, span by span; extra columns are ignored.
+scores; very long texts are scanned whole, span by span, and spans of any length are read
+whole; extra columns are kept, whatever their names, but for those named score or hits.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, table
+from .common import arrow_map, discard, fresh, stage, table, without
 
 SAMPLE, LEXICON, FOLDS, MIN_DOCS, MIN_Z, MIN_LIFT = 20_000, 512, 5, 5, 5.0, 8.0
-BEAM, READINGS, CACHE = 24, 4, 50_000
+READINGS, CACHE = 4, 50_000
 EDGE, ALIEN, N_SYM = 26, 27, 28  # symbols after a-z: word edge, any other letter
 
 # Letters that a sign may stand for.
@@ -104,42 +105,83 @@ def language_model(counts: np.ndarray) -> list[float]:
     return np.log(p3).ravel().tolist()
 
 
-def decode(span: str, lm: list[float], spaced: bool = False) -> list[str]:
-    """The best readings of a span, each a string of words."""
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+#: Readings are kept as chains of letters; where all are in one state, chains this long become strings.
+CHAIN = 4096
+
+
+def _moves(c: str, last: str, spaced: bool):
+    """(cost, letter emitted or "", last source letter after it) of every way to read a character."""
+    if c.isalpha():
+        yield 0.0, c, c
+        if c == last:
+            yield DROP, "", c
+    elif spaced and c in SEPARATORS:
+        yield JOIN, "", last
+        yield PART, " ", ""
+    else:
+        for x in LOOKS.get(c, ""):
+            yield SIGN, x, x
+            if x == last:
+                yield SIGN + DROP, "", x
+        yield LITERAL, " ", ""
+
+
+def _text(node) -> str:
+    out = []
+    while node is not None:
+        node, part = node
+        out.append(part)
+    return "".join(reversed(out))
+
+
+def _best(hyps: list[tuple], k: int) -> list[tuple]:
+    """The k cheapest of different texts."""
+    if len(hyps) == 1:
+        return hyps
+    hyps.sort(key=lambda h: h[:2])
+    seen, out = set(), []
+    for h in hyps:
+        if h[1] not in seen:
+            seen.add(h[1])
+            out.append(h)
+            if len(out) == k:
+                break
+    return out
+
+
+def ranked(span: str, lm: list[float], spaced: bool = False, k: int = READINGS) -> list[tuple[float, str]]:
+    """The k best readings of a span with their costs, by Viterbi.
+
+    A state is the last two symbols and the last source letter, all that later costs
+    depend on; each holds its k best texts, so that the k best of all are exact.
+    """
     n2 = N_SYM * N_SYM
-    # hypothesis: (cost, text, last two symbols, last source letter)
-    beam = [(0.0, "", EDGE, EDGE, "")]
+    # (cost, fingerprint of the text, chain of its parts) by state
+    states: dict[tuple, list[tuple]] = {(EDGE, EDGE, ""): [(0.0, 0, None)]}
+    steps = 0
     for c in span:
-        new: dict[tuple[str, str], tuple] = {}
-
-        def put(cost, text, a, b, last, emit):
-            if emit:
-                s = symbol(emit)
-                cost -= lm[a * n2 + b * N_SYM + s]
-                text, a, b = text + emit, b, s
-            key = (text, last)
-            if key not in new or new[key][0] > cost:
-                new[key] = (cost, text, a, b, last)
-
-        for cost, text, a, b, last in beam:
-            if c.isalpha():
-                put(cost, text, a, b, c, c)
-                if c == last:
-                    put(cost + DROP, text, a, b, c, "")
-            elif spaced and c in SEPARATORS:
-                put(cost + JOIN, text, a, b, last, "")
-                put(cost + PART, text, a, b, "", " ")
-            else:
-                for x in LOOKS.get(c, ""):
-                    put(cost + SIGN, text, a, b, x, x)
-                    if x == last:
-                        put(cost + SIGN + DROP, text, a, b, x, "")
-                put(cost + LITERAL, text, a, b, "", " ")
-        beam = sorted(new.values(), key=lambda h: (h[0], h[1]))[:BEAM]
-        if len(beam[0][1]) > 400:  # what all readings share by now is settled
-            beam = [(h[0] - beam[0][0], h[1], *h[2:]) for h in beam]
-    done = sorted((cost - lm[a * n2 + b * N_SYM + EDGE], text) for cost, text, a, b, _ in beam)
-    return list(dict.fromkeys(t for _, t in done))[:READINGS]
+        new: dict[tuple, list[tuple]] = {}
+        for (a, b, last), hyps in states.items():
+            for add, emit, then in _moves(c, last, spaced):
+                if emit:
+                    s, o = symbol(emit), ord(emit)
+                    add -= lm[a * n2 + b * N_SYM + s]
+                    new.setdefault((b, s, then), []).extend([(cost + add, (h * _BASE + o) % _PRIME, (node, emit)) for cost, h, node in hyps])
+                else:
+                    new.setdefault((a, b, then), []).extend([(cost + add, h, node) for cost, h, node in hyps])
+        states = {key: _best(hyps, k) for key, hyps in new.items()}
+        steps += 1
+        if steps >= CHAIN and len(states) == 1:
+            ((key, hyps),) = states.items()
+            states, steps = {key: [(cost, h, (None, _text(node))) for cost, h, node in hyps]}, 0
+    done = [(cost - lm[a * n2 + b * N_SYM + EDGE], h, node) for (a, b, _), hyps in states.items() for cost, h, node in hyps]
+    return [(cost, _text(node)) for cost, _, node in _best(done, k)]
+
+
+def decode(span: str, lm: list[float], spaced: bool = False) -> list[str]:
+    """The best readings of a span, each a string of words."""
+    return [text for _, text in ranked(span, lm, spaced)]
 
 
 class Restorer:
@@ -153,28 +195,24 @@ class Restorer:
         if got is None:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            # A long span is read in overlapping pieces, so that cost and strings stay bounded.
-            parts = [span[i : i + 96] for i in range(0, max(1, len(span) - 32), 64)]
-            got = tuple({w for p in parts for r in decode(p, self.lm, spaced) for w in WORDS.findall(r)})
-            if len(span) <= 64:
+            got = tuple({w for r in decode(span, self.lm, spaced) for w in WORDS.findall(r)})
+            if len(span) <= 64:  # longer ones hardly ever come again
                 self.known[span, spaced] = got
         return got
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
         out = set(WORDS.findall(low))
-        end = 0
         for find in (_SIGNED, _RUN):
             end = 0
             for m in find.finditer(low):
                 if m.start() < end:
                     continue
                 a = m.start()
-                while a > 0 and m.start() - a < 64 and not low[a - 1].isspace():
+                while a > end and not low[a - 1].isspace():
                     a -= 1
-                z = _TOKEN_END.search(low, m.end()).start()
-                end = z
-                token = low[a:z].strip(_OUTER)
+                end = _TOKEN_END.search(low, m.end()).start()
+                token = low[a:end].strip(_OUTER)
                 if not _LETTER.search(token):
                     continue
                 for span in {token, token.strip(_OUTER + _MAYBE)}:
@@ -192,7 +230,9 @@ def learn(docs: DataFrame, labels: DataFrame, lm: list[float], *, id_col="doc_id
     """(log prior odds, {word: (weight if there, weight if not)}) from a bounded sample of labels."""
     lab = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_y")).dropna()
     lab = lab.filter(~held_out(F.col("_id"))) if only_train else lab
-    lab = lab.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
+    if (n := lab.count()) > sample:  # by hash, so that no task ranks all ids
+        lab = lab.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(lab), "_id")
 
     def run(batches):
@@ -209,21 +249,22 @@ def learn(docs: DataFrame, labels: DataFrame, lm: list[float], *, id_col="doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(y, pa.int32())], names=["w", "y"])
 
     seen = arrow_map(rows.select("_t", "_y"), run, "w string, y int")
-    by_word = seen.groupBy("w").agg(F.sum(F.col("y").cast("long")).alias("t"), F.sum((1 - F.col("y")).cast("long")).alias("c"))
-    both = by_word.filter((F.col("w") == "") | (F.col("t") >= MIN_DOCS)).filter((F.col("w") == "") | (F.col("t") * 4 > F.col("c")))
-    got = {r.w: (r.t, r.c) for r in both.orderBy(F.col("w") != "", F.col("t").desc(), "w").limit(20 * LEXICON).collect()}
-    nt, nc = got.pop("", (0, 0))
-    if not nt or not nc:
+    by_word = stage(seen.groupBy("w").agg(F.sum(F.col("y").cast("long")).alias("t"), F.sum((1 - F.col("y")).cast("long")).alias("c")), "words")
+    texts = by_word.filter("w = ''").first()
+    if texts is None or not texts.t or not texts.c:
+        discard(by_word)
         return None
-    lexicon = {}
-    for w, (t, c) in got.items():
-        pt, pc, p = t / nt, c / nc, (t + c) / (nt + nc)
-        z = (pt - pc) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / nt + 1 / nc))
-        qt, qc = (t + 0.1) / (nt + 0.2), (c + 0.1) / (nc + 0.2)
-        if z >= MIN_Z and qt >= MIN_LIFT * qc:
-            lexicon[w] = (z, math.log(qt / qc), math.log((1 - qt) / (1 - qc)))
-    top = sorted(lexicon, key=lambda w: (-lexicon[w][0], w))[:LEXICON]
-    return math.log(nt / nc), {w: lexicon[w][1:] for w in top}
+    nt, nc = texts.t, texts.c
+    t, c = F.col("t"), F.col("c")
+    p = (t + c) / (nt + nc)
+    z = (t / nt - c / nc) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / nt + 1 / nc))
+    qt, qc = (t + 0.1) / (nt + 0.2), (c + 0.1) / (nc + 0.2)
+    # Every word is tested before any is left out; those that pass are few and all come to the driver.
+    telling = by_word.filter((F.col("w") != "") & (t >= MIN_DOCS) & (z >= MIN_Z) & (qt >= MIN_LIFT * qc))
+    got = telling.select("w", z.alias("z"), qt.alias("qt"), qc.alias("qc")).collect()
+    discard(by_word)
+    top = sorted(got, key=lambda r: (-r.z, r.w))[:LEXICON]
+    return math.log(nt / nc), {r.w: (math.log(r.qt / r.qc), math.log((1 - r.qt) / (1 - r.qc))) for r in top}
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", only_train=True, carry: list[str] | None = None) -> DataFrame:
@@ -235,7 +276,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     model = learn(docs, labels, lm, id_col=id_col, text_col=text_col, only_train=only_train)
     prior, lexicon = model or (-math.inf, {})
     rest = prior + sum(b for _, b in lexicon.values()) if model else 0.0
-    keep = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "hits")]
+    keep = without(docs.columns if carry is None else carry, ["score", "hits"])
 
     def run(batches):
         r, names = Restorer(lm), lexicon.keys()
@@ -248,12 +289,18 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(p, pa.float64()), pa.array(hits, pa.list_(pa.string()))], names=[*keep, "score", "hits"])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.StringType()))])
-    return arrow_map(docs.select(*keep, F.col(text_col).alias("__text")), run, schema)
+    return arrow_map(docs.select(*keep, F.col(text_col).alias(fresh(keep, "text"))), run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **params) -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold."""
-    return score(docs, labels, **params).filter(F.col("score") < threshold).select(*docs.columns)
+    """``docs`` without the rows whose score reaches the threshold.
+
+    Columns named score or hits, which ``score`` would replace, stay the input's: they are
+    carried under other names meanwhile.
+    """
+    aside = {c: fresh(docs.columns, f"{c}_") for c in docs.columns if c.lower() in ("score", "hits")}
+    out = score(docs.withColumnsRenamed(aside), labels, **params).filter(F.col("score") < threshold)
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op10_toxicity(spark, sf_dir) -> DataFrame:

@@ -277,12 +277,12 @@ def test_near_duplicates(spark, odd, empty, monkeypatch):
     want = _brute(rows)
     for block in (4096, 5):
         monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", block)
-        got = minhash_dedup.near_duplicates(df).collect()
+        got = minhash_dedup.near_duplicates(df, shingle=2).collect()
         assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
         assert all(x.kept == (x.doc_id == x.component_id) for x in got)
     assert minhash_dedup.near_duplicates(odd).count() == 12
     assert minhash_dedup.near_duplicates(empty).count() == 0
-    assert minhash_dedup.drop_near_duplicates(df).count() == len({c for _, c in want.values()})
+    assert minhash_dedup.drop_near_duplicates(df, shingle=2).count() == len({c for _, c in want.values()})
 
 
 def test_near_copies_of_quoted_passages(spark):
@@ -296,7 +296,7 @@ def test_near_copies_of_quoted_passages(spark):
             rows.append((10_000 + 2 * f + at, " ".join(f"e{f}x{i}" if i in edits else w for i, w in enumerate(passage))))
         pairs.append((10_000 + 2 * f, 10_001 + 2 * f))
     # Few short keys, so that some hundred documents are enough to hold the least id of each.
-    got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), side=4, sub=1).collect()}
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), side=4, sub=1, shingle=2).collect()}
     assert {k: v for k, v in got.items() if k != v} == {b: a for a, b in pairs}
 
 
@@ -361,7 +361,33 @@ def test_mixing(spark, odd, empty):
     assert all(abs(taken[s] - target[s]) <= 40 for s in names)
     assert mixing.mix(odd).count() == 12 and mixing.mix(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, source string, size int")
-    assert sum(len(x.text.split()) for x in mixing.apply_mix(df).collect()) == sum(taken.values())
+    assert sum(len((x.text or "").split()) for x in mixing.apply_mix(df).collect()) == sum(taken.values())
+
+
+def test_columns_with_any_name_are_kept(spark):
+    """Names that the operators use inside, and those that they add, survive where they are the input's."""
+    names = ["_t", "_h", "_o", "_new", "_src", "_n", "_pii", "_mix", "_red", "pii", "n_chars"]
+    df = spark.createDataFrame([(1, "mail a@b.cd now", "s", *[7] * len(names)), (None, "x y", None, *[8] * len(names)), (None, "x z", None, *[9] * len(names)), (4, "", "s", *[5] * len(names))], f"doc_id long, text string, source string, {', '.join(f'{n} long' for n in names)}")
+    red = pii.redact(df)
+    assert red.columns == df.columns
+    by = {r.pii: r for r in red.collect()}
+    assert by[7].text == "mail [EMAIL] now" and by[7]._t == by[7]._o == by[7]._mix == 7 and by[7].n_chars == 16 and by[8].n_chars == 8
+    found = pii.spans(df)
+    assert found.columns.count("pii") == 1 and {r._t for r in found.collect()} == {5, 7, 8, 9}
+    mixed = mixing.apply_mix(df)
+    assert mixed.columns == df.columns and all(r._h == r._src == r._n for r in mixed.collect()) and mixed.filter("doc_id = 4").count() == 1
+    assert mixing.apply_mix(df, wordless=False).filter("doc_id = 4").count() == 0
+
+
+def test_mixed_rows_with_one_id_have_their_own_share(spark):
+    """Null ids: what the stage repeats is what the mix takes, source by source."""
+    rows = [(None, f"w{i} " * (1 + i % 7), f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = collections.Counter()
+    for r in mixing.apply_mix(df).collect():
+        took[r.source] += len(r.text.split())
+    want = {r.source: r.target for r in mixing.mix(df).collect()}
+    assert all(abs(took[s] - want[s]) <= 7 for s in want)
 
 
 def test_pii(spark, odd, empty):

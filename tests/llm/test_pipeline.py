@@ -25,7 +25,7 @@ def test_stages(spark):
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     assert ids(by["toxicity"][1]) <= ids(by["toxicity"][0]) and by["near_dedup"][1].count() < by["near_dedup"][0].count()
     assert ids(by["pii"][0]) == ids(by["pii"][1])
-    words = sum(len(r.text.split()) for r in by["mixing"][1].select("text").collect())
+    words = sum(len((r.text or "").split()) for r in by["mixing"][1].select("text").collect())
     assert words == sum(r.taken for r in mixing.mix(by["mixing"][0]).collect())
     assert by["pieces"][1].filter("NOT decodes").count() == 0 and by["pieces"][1].count() == by["mixing"][1].count()
 

@@ -7,7 +7,7 @@ moves its large inner products, costs eta times as much as error across it.  A q
 adds up table entries of the codes in the cells it probes; of each block the best
 ``RERANK``, and all within ``MARGIN`` deviations of the codes' error of the k-th best, are scored again in double precision on the original vectors.
 
-Codebooks and centres are fitted on a bounded sample (``FIT`` vectors by hash order).
+Codebooks and centres are fitted on a bounded sample (about ``FIT`` vectors, below a threshold of their hash).
 Every vector is coded and indexed.  The number of cells follows the square root of the
 number of vectors; a cell with more than ``BLOCK`` vectors is cut into blocks by hash, its
 queries into blocks as well, so one task's group is bounded however hot a cell is.  A
@@ -169,15 +169,18 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col="vec_id", vec_col="
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(fine)
     every, asked = clean(vectors), clean(queries)
     empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    got = every.orderBy(F.xxhash64("id"), "id").limit(fit).toPandas()  # at most ``fit`` rows
+    n = every.count()
+    # A sample by a threshold of the hash: about ``fit`` rows, however many partitions there are.
+    picked = every if n <= fit else every.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(fit / n * (1 << 30)))
+    got = picked.toPandas().sort_values("id", kind="stable")
     if not len(got):
         return empty
     sizes = got.v.map(len)
     d = int(sizes.mode().iloc[0])
     sample = np.stack(got.v[sizes == d].to_numpy()).astype(np.float64)
     every, asked = every.filter(F.size("v") == d), asked.filter(F.size("v") == d)
-    n = every.count()
-    cells = cells or max(1, round(math.sqrt(n) / 4))
+    every_n = every.count()
+    cells = cells or max(1, round(math.sqrt(every_n) / 4))
     quant = Quantiser(sample, min(cells, len(sample)), eta=eta)
     cells = len(quant.centres)
     coder = spark.sparkContext.broadcast(quant)  # bounded: the cells' centres and 16 centroids a subspace

@@ -37,6 +37,14 @@ def fresh(taken, name: str) -> str:
     return name
 
 
+def prefix(columns, name: str) -> str:
+    """``name``, with underscores added until no column begins with it."""
+    low = [c.lower() for c in columns]
+    while any(c.startswith(name.lower()) for c in low):
+        name += "_"
+    return name
+
+
 def without(columns, names) -> list[str]:
     """``columns`` but for those that would clash with ``names``."""
     low = {n.lower() for n in names}

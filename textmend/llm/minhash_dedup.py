@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, WORD, arrow_map, bounded_broadcast, discard, stage, table
 from .components import components
 
-SIDE, SUB, SHINGLE, PERCENT = 12, 3, 2, 80
+#: Shingles are five words unless a caller asks otherwise, as op6 does.
+SIDE, SUB, SHINGLE, PERCENT = 12, 3, 5, 80
 CACHE = 50_000
 _WORD = re.compile(WORD)
 _MASK = (1 << 64) - 1
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", **para
 
 
 def op6_near_dedup(spark, sf_dir) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 #: Ids of dropped documents up to this many are broadcast (8 bytes each), more are joined by shuffle.

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_broadcast, stage, table
+from .common import WORD, bounded_broadcast, prefix, stage, table
 
 WEIGHTS, MAX_EPOCHS, SEED, BIN_DIGITS = (1, 2, 3), 3, "mix-1", 3
 #: Per-source tables up to this many rows are broadcast, larger ones are joined by shuffle.
@@ -68,7 +68,7 @@ def _plan(docs: DataFrame, id_col, text_col, source_col, weights, max_epochs, se
     """(documents: id, source, size, h; sources: src, target and boundary bin; documents of boundary bins with extra)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     # The text is read once: what follows works on a few bytes per document.
-    sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _order_hash(id_col, seed).alias("h")), "mix")
+    sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _order_hash(id_col, seed).alias("h"), F.xxhash64(text_col).alias("th")), "mix")
     per = stage(targets(sized, weights, max_epochs), "targets")
     bins = sized.groupBy("source", F.substring("h", 1, bin_digits).alias("bin")).agg(F.sum("size").alias("in_bin"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +80,7 @@ def _plan(docs: DataFrame, id_col, text_col, source_col, weights, max_epochs, se
         .select("s", F.col("bin").alias("edge_bin"), F.col("cum").alias("edge_cum"))
     )
     plan = stage(per.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "src"), "plan")
-    run = Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("source").orderBy("h", "id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.join(bounded_broadcast(plan, MAX_SOURCES), F.col("source").eqNullSafe(F.col("src")))
     inside = rows.filter(F.substring("h", 1, bin_digits) == F.col("edge_bin")).withColumn("c", F.col("edge_cum") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     inside = inside.withColumn("extra", (2 * F.col("c") + F.col("size") <= 2 * F.col("remain")).cast("long"))
@@ -102,23 +102,29 @@ def op8_mixing(spark, sf_dir) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def apply_mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED, bin_digits=BIN_DIGITS) -> DataFrame:
+def apply_mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED, bin_digits=BIN_DIGITS, wordless: bool = True) -> DataFrame:
     """The mixed documents themselves: each as many rows as it is repeated.
 
-    A document that is taken 0 times goes; a text without words carries no weight in a
-    mix and goes as well.  Ids name documents here: rows of one id share its count.
-    Texts are not shuffled: each row finds its source's plan, and only those of a
-    boundary bin are looked up by hash.
+    A document that is taken 0 times goes.  A text without words carries no weight in a
+    mix: it stays once (``wordless`` False: it goes).  A decision is a row's own by source,
+    id and text: equal or null ids do not share one, rows equal in all three do.  Texts
+    are not shuffled: each row finds its source's plan, and only those of a boundary bin are looked up.
     """
     _, plan, inside = _plan(docs, id_col, text_col, source_col, weights, max_epochs, seed, bin_digits)
-    edge = stage(inside.groupBy(F.col("h").alias("_eh")).agg(F.max("extra").alias("_extra")), "edge")
-    plan = plan.select(F.col("src").alias("_src"), F.col("whole").alias("_whole"), F.col("edge_bin").alias("_edge"))
-    rows = docs.filter(F.col(text_col).rlike(WORD)).withColumn("_h", _order_hash(id_col, seed))
-    rows = rows.join(bounded_broadcast(plan, MAX_SOURCES), F.col(source_col).eqNullSafe(F.col("_src")))
-    rows = rows.join(bounded_broadcast(edge, MAX_EDGE), F.col("_h") == F.col("_eh"), "left")
-    extra = F.coalesce("_extra", (F.substring("_h", 1, bin_digits) < F.col("_edge")).cast("long"), F.lit(0))
-    times = (F.col("_whole") + extra).cast("int")
-    return rows.withColumn("_n", times).filter("_n > 0").withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    own = prefix(docs.columns, "_mix")
+    n = {k: f"{own}_{k}" for k in ("src", "whole", "edge", "h", "th", "es", "eh", "et", "extra", "n", "r")}
+    edge = inside.filter("size > 0").groupBy(F.col("source").alias(n["es"]), F.col("h").alias(n["eh"]), F.col("th").alias(n["et"])).agg(F.max("extra").alias(n["extra"]))
+    edge = stage(edge, "edge")
+    plan = plan.select(F.col("src").alias(n["src"]), F.col("whole").alias(n["whole"]), F.col("edge_bin").alias(n["edge"]))
+    has = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    rows = docs.filter(has).withColumn(n["h"], _order_hash(id_col, seed)).withColumn(n["th"], F.xxhash64(text_col))
+    rows = rows.join(bounded_broadcast(plan, MAX_SOURCES), F.col(source_col).eqNullSafe(F.col(n["src"])))
+    same = (F.col(n["h"]) == F.col(n["eh"])) & (F.col(n["th"]) == F.col(n["et"])) & F.col(source_col).eqNullSafe(F.col(n["es"]))
+    rows = rows.join(bounded_broadcast(edge, MAX_EDGE), same, "left")
+    extra = F.coalesce(n["extra"], (F.substring(n["h"], 1, bin_digits) < F.col(n["edge"])).cast("long"), F.lit(0))
+    times = (F.col(n["whole"]) + extra).cast("int")
+    out = rows.withColumn(n["n"], times).filter(F.col(n["n"]) > 0).withColumn(n["r"], F.explode(F.sequence(F.lit(1), F.col(n["n"])))).select(*docs.columns)
+    return out.unionByName(docs.filter(~has)) if wordless else out
 
 
 SQL = rf"""

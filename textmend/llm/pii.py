@@ -14,7 +14,8 @@ confirmed by their checks alone and always stay.  The method adds IBANs, and car
 numbers of 13 to 15 digits that pass Luhn and have a cue.
 
 Edge cases: null text counts as empty and has no span; an empty table gives an empty
-result; repeated rows give repeated results; extra columns are kept.
+result; repeated rows give repeated results; extra columns are kept, whatever their names
+(``spans`` replaces a column named pii, ``redact`` keeps it).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, prefix, table, without
 
 # The contract's patterns, in the order in which kinds are listed.
 BASE = {
@@ -123,30 +124,30 @@ def _judge(kind: str, x: Column) -> tuple[Column, Column]:
 
 
 def spans(docs: DataFrame, *, text_col="text") -> DataFrame:
-    """``docs`` with pii: array<struct<kind,s,e,v,base,score>> by kind, then start."""
-    t = F.col("_t")
-    out = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+    """``docs`` with pii: array<struct<kind,s,e,v,base,score>> by kind, then start (a column of that name is replaced)."""
+    own = prefix(docs.columns, "_pii")
+    t, hit, gap, at = f"{own}_t", f"{own}_h_", f"{own}_g_", f"{own}_l_"
+    out = docs.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
     no = F.array().cast("array<string>")
     for k in KINDS:
         gate = F.contains(t, F.lit(NEEDS[k])) if NEEDS[k] else F.lit(True)
-        out = out.withColumn(f"_h_{k}", F.when(gate, F.regexp_extract_all(t, F.lit(FAST[k]), F.lit(0))).otherwise(no))
+        out = out.withColumn(hit + k, F.when(gate, F.regexp_extract_all(t, F.lit(FAST[k]), F.lit(0))).otherwise(no))
     for k in KINDS:
-        h = F.col(f"_h_{k}")
-        out = out.withColumn(f"_g_{k}", F.when(F.size(h) > 0, F.split(t, FAST[k], -1)).otherwise(no))
+        out = out.withColumn(gap + k, F.when(F.size(hit + k) > 0, F.split(t, FAST[k], -1)).otherwise(no))
     for k in KINDS:
-        out = out.withColumn(f"_l_{k}", located(F.col(f"_h_{k}"), F.col(f"_g_{k}")))
+        out = out.withColumn(at + k, located(F.col(hit + k), F.col(gap + k)))
 
     def scored(k):
         def one(x):
             base, ok = _judge(k, x)
-            near = F.call_function("substring", t, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
+            near = F.call_function("substring", F.col(t), F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
             start = F.when(base | F.lit(k == "iban"), SCORES[k]).otherwise(SHORT_CARD)
             score = F.when(ok, start + F.when(near.rlike(f"(?i){CUES[k]}"), CUE_BONUS).otherwise(0.0)).otherwise(0.0)
             return F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), base.alias("base"), score.alias("score"))
 
-        return F.filter(F.transform(F.col(f"_l_{k}"), one), lambda x: x["base"] | (x["score"] >= THRESHOLD))
+        return F.filter(F.transform(F.col(at + k), one), lambda x: x["base"] | (x["score"] >= THRESHOLD))
 
-    return out.withColumn("pii", F.concat(*[scored(k) for k in KINDS])).select(*docs.columns, "pii")
+    return out.select(*without(docs.columns, ["pii"]), F.concat(*[scored(k) for k in KINDS]).alias("pii"))
 
 
 def _listed(arr: Column) -> Column:
@@ -166,7 +167,9 @@ def redact(docs: DataFrame, *, text_col="text") -> DataFrame:
     Where spans overlap the earliest (then longest) wins and covers the others' start;
     n_chars, if there, follows the new text.
     """
-    out = spans(docs, text_col=text_col)
+    aside = {c: fresh(docs.columns, f"{c}_") for c in docs.columns if c.lower() == "pii"}
+    own = prefix(docs.columns, "_red")
+    out = spans(docs.withColumnsRenamed(aside), text_col=text_col)
     order = F.array_sort(F.transform("pii", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     t = F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -179,10 +182,11 @@ def redact(docs: DataFrame, *, text_col="text") -> DataFrame:
             F.when(keep, F.concat(acc["out"], piece, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
         )
 
-    done = F.aggregate("_o", zero, put, lambda acc: F.concat(acc["out"], F.call_function("substring", t, acc["at"] + 1, F.length(t))))
-    out = out.withColumn("_o", order).withColumn("_new", F.when(F.size("pii") > 0, done).otherwise(t))
-    cols = [F.col("_new").alias(c) if c == text_col else F.when(F.size("pii") > 0, F.length("_new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+    done = F.aggregate(f"{own}_o", zero, put, lambda acc: F.concat(acc["out"], F.call_function("substring", t, acc["at"] + 1, F.length(t))))
+    new, some = f"{own}_new", F.size("pii") > 0
+    out = out.withColumn(f"{own}_o", order).withColumn(new, F.when(some, done).otherwise(t))
+    value = {text_col: F.col(new), "n_chars": F.when(some, F.length(new).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {text_col: F.col(new)}
+    return out.select(*[value.get(c, F.col(aside.get(c, c))).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:

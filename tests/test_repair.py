@@ -1,15 +1,19 @@
 """Golden values of Kannada repair, an independent model for distances, stream = batch."""
 
+import datetime as dt
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from textmend import cli, staging
 from textmend.functions import text as T
 from textmend.operators import correct, layout, lexicon
 from textmend.plans.document import Engine
 from textmend.script import KANNADA, LATIN
-from textmend.sources import files, sinks
+from textmend.sources import backends, files, sinks
 from textmend.streaming import stream
 
 WORDS = "ಕನ್ನಡ ಶಾಂತಿ ಪ್ರಮುಖ ಪಾತ್ರ ಜೀವನದಲ್ಲಿ ವಹಿಸುತ್ತದೆ ಕರ್ನಾಟಕ ಜೀವನ ಸಂಗೀತ ಕಾಫಿ ದೂಷಿಸು ಯೋಜನೆ".split()
@@ -63,7 +67,7 @@ def test_whole_text_and_stream(spark, lex, tmp_path):
     assert batch[3].corrected == "" and batch[4].corrected is None and not batch[4].has_errors
     df.write.parquet(str(tmp_path / "in"))
     got = {}
-    q = stream.correct_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), lex, KANNADA, lambda d, i: got.update({r.doc_id: r for r in d.collect()}), str(tmp_path / "ck"))
+    q = stream.correct_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), lex, KANNADA, lambda d, i: got.update({r.doc_id: r for r in d.collect()}), str(tmp_path / "ck"), trigger={"availableNow": True})
     q.awaitTermination()
     assert got == batch
 
@@ -107,13 +111,23 @@ def test_neighbours_cross_partitions(spark):
 
 
 class FakePdf:
+    """Pages parted by |, blocks by ;. A leading ? marks pictures without blocks, a leading ! a broken file."""
+
+    def info(self, content):
+        if content.startswith(b"!"):
+            raise OSError("broken")
+        return (0 if content == b"none" else content.count(b"|") + 1), {"title": "t"}
+
     def blocks(self, content):
+        if content.startswith(b"?"):
+            return
         for n, page in enumerate(content.decode().split("|"), 1):
             for i, t in enumerate(page.split(";")):
                 yield dict(page_num=n, page_width=600.0, seq=i, x0=10.0, y0=12.0 * i, x1=500.0, y1=12.0 * i + 10, text=t, block_type=0)
 
     def pages(self, content, dpi, first, last):
-        yield 1, content
+        for n, page in enumerate(content.lstrip(b"?").split(b"|"), 1):
+            yield n, page
 
 
 class FakeOcr:
@@ -136,7 +150,7 @@ def test_documents(spark, lex, tmp_path):
     res = Engine(lex, KANNADA, FakeOcr(), FakePdf()).process(spark.read.format("binaryFile").load(str(src)))
     rep = {r.doc_id.rsplit("/", 1)[1]: r for r in res.report.collect()}
     assert rep["a.pdf"].total_pages == 2 and "ಸಂಗೀತ" in rep["a.pdf"].full_text and rep["a.pdf"].full_text.endswith("ಜೀವನ")
-    assert rep["b.png"].full_text == "ಯೋಜನೆ ಪಾತ್ರ" and rep["b.png"].generated_files.json == "b_report.json"
+    assert rep["b.png"].full_text == "ಯೋಜನೆ ಪಾತ್ರ" and rep["b.png"].generated_files.json.startswith("b-") and rep["b.png"].generated_files.json.endswith("_report.json")
     assert [r.error for r in res.rejected.collect()] == ["unsupported file type"]
     sinks.write_pages(res.pages, str(tmp_path / "pages"))
     sinks.write_reports(res.report, str(tmp_path / "rep"))
@@ -145,6 +159,136 @@ def test_documents(spark, lex, tmp_path):
     assert "<p style=" in sinks.printable(res.lines).first().html
 
 
+def test_every_file_has_a_way(spark, lex, tmp_path):
+    """PDFs without blocks, with blank pages, few characters, too many or no pages, and broken ones: lines or a reason, never neither."""
+    texts = {
+        "/a/none.pdf": "?ಸಂಗಿತ|ಜಿವನ", "/b/none.pdf": "?|", "/a/few.pdf": "ಕಾಥಿ", "/a/many.pdf": "x|" * 500, "/a/zero.pdf": "none", "/a/bad.pdf": "!", "/a/x.zip": "z", "/a/i.png": "ಯೋಪನೆ",
+    }
+    df = spark.createDataFrame([(k, bytearray(v.encode())) for k, v in texts.items()], "path string, content binary")
+    engine = Engine(lex, KANNADA, FakeOcr(), FakePdf())
+    res = engine.process(df)
+    pages = {(r.doc_id, r.page_num): r.corrected_text for r in res.pages.collect()}
+    assert pages == {("/a/none.pdf", 1): "ಸಂಗೀತ", ("/a/none.pdf", 2): "ಜೀವನ", ("/b/none.pdf", 1): "", ("/b/none.pdf", 2): "", ("/a/few.pdf", 1): "ಕಾಫಿ", ("/a/i.png", 1): "ಯೋಜನೆ"}
+    why = {r.doc_id: r.error for r in res.rejected.collect()}
+    assert why == {"/a/many.pdf": "PDF has 501 pages; the limit is 500", "/a/zero.pdf": "PDF has no pages", "/a/bad.pdf": "OSError: broken", "/a/x.zip": "unsupported file type"}
+    report = {r.doc_id: r for r in res.report.collect()}
+    assert report.keys() | why.keys() == set(texts) and not report.keys() & why.keys() and report["/b/none.pdf"].total_pages == 2
+    names = {r.generated_files.text for r in report.values()}
+    assert len(names) == len(report)  # /a/none.pdf and /b/none.pdf stay apart
+    sinks.write_combined(res.report, str(tmp_path / "text"))
+    assert len(list((tmp_path / "text").glob("doc=*"))) == len(report)
+    assert {(r.doc_id, r.page_num): r.text for r in backends.plain_text(engine.intake(df).images, FakeOcr()).collect()}["/b/none.pdf", 2] == ""
+
+
+def test_printable_breaks_where_the_page_changes(spark, tmp_path):
+    rows = [("d", 1, 1, "a"), ("d", 1, 2, "b"), ("d", 2, 3, "c"), ("e", 1, 1, "x")]
+    lines = spark.createDataFrame(rows, "doc_id string, page_num int, line_ord int, text string").withColumn("alignment", F.lit("L"))
+    html = {r.doc_id: r.html for r in sinks.printable(lines).collect()}
+    assert html["d"].count('class="page"') == 1 and html["d"].index("b</p>") < html["d"].index('class="page"') < html["d"].index("c</p>") and 'class="page"' not in html["e"]
+
+    class Writer:
+        def write(self, pages, header, footer):
+            return "|".join(",".join(x["text"] for x in p) for p in pages).encode() + header.encode()
+
+    sinks.write_documents(lines, Writer(), str(tmp_path / "w"), header="!")
+    assert {bytes(r.content) for r in spark.read.parquet(str(tmp_path / "w")).collect()} == {b"a,b|c!", b"x!"}
+
+
+def test_no_staged_table_is_left(spark, lex, tmp_path):
+    left = lambda: {r.path for r in _staged(spark)}
+    before = left()
+    df = spark.createDataFrame([(1, "ಸಂಗಿತ ಕನಾ ೯ಟಕ"), (2, None)], "doc_id long, text string")
+    with staging.scope():
+        assert correct.correct(df, lex, KANNADA).texts().count() == 2
+    assert left() == before
+    for i in range(3):
+        df.write.parquet(str(tmp_path / "in" / str(i)))
+    seen = []
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    stream.correct_stream(reader, lex, KANNADA, lambda d, i: seen.append(d.count()), str(tmp_path / "ck"), trigger={"availableNow": True}).awaitTermination()
+    assert sum(seen) == 6 and len(seen) >= 3 and left() == before
+
+
+def _staged(spark):
+    import collections
+    import pathlib
+
+    folder = staging.shared_dir(spark).removeprefix("file:")
+    return [collections.namedtuple("P", "path")(str(p)) for p in pathlib.Path(folder).glob("stage-*")]
+
+
+def test_sessions_keep_the_newest_state(spark, tmp_path):
+    """A late event changes nothing newer, across micro-batches; a burst of edits gives its last text."""
+    schema = "session_id string, ts timestamp, upload_path string, total_pages int, stage string, percent int"
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    batches = [[("s", at(5), "u1", None, "ocr", 40)], [("s", at(2), "u0", 7, "inspecting", 5)], [("s", at(6), None, None, "exporting", 92)]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        time.sleep(0.01)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = []
+    q = stream.sessions(reader).writeStream.outputMode("update").foreachBatch(lambda d, i: got.extend(d.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = max(got, key=lambda r: r.events)
+    assert (last.upload_path, last.total_pages, last.stage, last.percent, last.events) == ("u1", 7, "exporting", 92, 3)
+    edits = [("s", dt.datetime(2024, 1, 1, 0, 0, 0, 100_000 * i), f"t{i}") for i in range(3)] + [("s", dt.datetime(2024, 1, 1, 0, 0, 5), "later")]
+    out = stream.settled(spark.createDataFrame(edits, "session_id string, ts timestamp, text string")).collect()
+    assert sorted((r.text, r.edits) for r in out) == [("later", 1), ("t2", 3)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "w.dic").write_text("2\nಸಂಗೀತ\nಪಾತ್ರ\n")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes("ಸಂಗಿತ".encode())
+    base = ["--dic", str(tmp_path / "w.dic")]
+    assert cli.main([*base, "--text", "ಸಂಗಿತ"], spark) == 0 and "ಸಂಗೀತ" in capsys.readouterr().out
+    out = str(tmp_path / "out")
+    assert cli.main([*base, "--batch", str(tmp_path / "in"), "--output-dir", out, "--save-images"], spark, FakeOcr(), FakePdf()) == 0
+    assert spark.read.json(f"{out}/reports").first().full_text == "ಸಂಗೀತ" and spark.read.parquet(f"{out}/images").count() == 1
+    assert cli.main(base, spark) == 1
+    status = files.system_status(spark, ocr=FakeOcr(), pdf=FakePdf())
+    assert status["ocr"] and status["languages"] == ["kan"] and not files.system_status(spark)["pdf"]
+    names = files.uploads(spark.createDataFrame([("/x/a b?.PDF", 2 << 20), ("/x/c.exe", 1)], "path string, length long")).collect()
+    assert [(r.filename, r.file_size_mb) for r in names] == [("a b_.pdf", 2.0)]
+    assert files.languages(spark, ["kan", "zzz"]).collect()[1].name == "zzz"
+    found = sinks.find_output(spark.createDataFrame([("x_corrected.txt",), ("x_report.json",)], "path string"), "json").collect()
+    assert [r.path for r in found] == ["x_report.json"]
+    events = sinks.server_events(spark.createDataFrame([(1, "ಅ")], "n int, s string")).first().value
+    assert events == 'data: {"n":1,"s":"ಅ"}\n\n'
+
+
+def test_chains_of_any_length_settle(spark):
+    """Every word's choice depends on the choice before it, over more words than any block; equal to the plain fold."""
+    words = [f"{a}{b}" for a in "bcdfghjk" for b in ("ea", "oe", "ae", "oo")]
+    lx = lexicon.Lexicon(spark.createDataFrame([(w,) for w in words], "word string"))
+    r = random.Random(4)
+    texts = [" ".join(["beea"] * 150), " ".join(r.choices(["beea", "cea", "ceae", "dooe", "fea", "foe", "xx"], k=120))] + [" ".join(r.choices(["beea", "bea", "cooe", "ceae", "dae", "zzz"], k=r.randint(0, 12))) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.corrected for x in correct.correct(df, lx, LATIN).texts().collect()}
+    cands = {x.word: x.cands for x in correct.per_word(spark.createDataFrame([(w,) for w in {w for t in texts for w in t.split()}], "word string"), lx, LATIN).collect()}
+    n = lx.size
+
+    def score(c, prev, nxt):
+        lm = math.log((2.0 if c.seen else 1.0) / (2.0 * n)) + 1.5 * (c.before is not None and prev == c.before) + 1.5 * (c.after is not None and nxt == c.after)
+        bonus = max(0.0, min(0.3, (lm + 10.0) / 20.0)) if prev is not None or nxt is not None else 0.0
+        return (round(c.cost - bonus, 3), c.gen, c.ord, c.cand)
+
+    assert any(cands.values())
+    for i, t in enumerate(texts):
+        ws = t.split(" ") if t else []
+        new = []
+        for k, w in enumerate(ws):
+            cs = cands.get(w)
+            new.append(min(score(c, new[-1] if new else None, ws[k + 1] if k + 1 < len(ws) else None) for c in cs)[3] if cs else w)
+        assert got[i] == " ".join(new)
+
+
+def test_equal_and_null_ids_are_rows_of_their_own(spark, lex):
+    df = spark.createDataFrame([(1, "ಸಂಗಿತ"), (1, "ಜಿವನ"), (None, "ಕಾಥಿ"), (None, "ಕಾಥಿ")], "doc_id long, text string")
+    got = sorted(r.corrected for r in correct.correct(df, lex, KANNADA).texts().collect())
+    assert got == sorted(["ಸಂಗೀತ", "ಜೀವನ", "ಕಾಫಿ", "ಕಾಫಿ"])
+
+
 def test_page_runs_follow_changes(spark):
     rows = [("d", i + 1, p) for i, p in enumerate([1, 1, 2, 1, 1])]
     got = layout.page_runs(spark.createDataFrame(rows, "doc_id string, line_ord int, page_num int")).orderBy("line_ord").collect()

@@ -11,6 +11,7 @@ from .operators import lexicon
 from .plans.document import Engine
 from .script import KANNADA, LATIN
 from .sources import files, sinks
+from .staging import scope
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,6 +40,11 @@ def show(row: dict, as_json: bool) -> str:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, ocr=None, pdf=None) -> int:
+    with scope():
+        return _run(argv, spark, ocr, pdf)
+
+
+def _run(argv, spark, ocr, pdf) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("textmend").getOrCreate()
     p = {"kannada": KANNADA, "latin": LATIN}[a.profile]
@@ -58,6 +64,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, ocr=N
     sinks.write_reports(result.report, f"{a.output_dir}/reports")
     if not a.no_pdf:
         sinks.printable(result.lines).write.mode("overwrite").parquet(f"{a.output_dir}/printable")
+    if a.save_images and result.images is not None:
+        sinks.write_images(result.images, f"{a.output_dir}/images")
     result.report.select("doc_id", "total_pages", "total_corrections").show(truncate=False)
     result.rejected.show(truncate=False)
     return 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..script import BREAKS, SPACE, ScriptProfile
 
 TOKEN = "array<struct<pos:int,type:string,value:string,start:int,end:int>>"
-BLOCK = 64
+BLOCK = 16
 
 
 def substr(col, start, length) -> Column:
@@ -61,11 +61,7 @@ def token_pattern(p: ScriptProfile) -> str:
 
 
 def tokens(col: Column, p: ScriptProfile) -> Column:
-    """Tokens with offsets, as an array; joined values give the text again.
-
-    Offsets are running sums in two levels (within blocks and over blocks), so a long
-    text costs little more per token than a short one, and no window is needed.
-    """
+    """Tokens with offsets, as an array; joined values give the text again."""
     return F.when(col.isNotNull(), let(F.regexp_extract_all(col, F.lit(token_pattern(p)), F.lit(0)), lambda raw: _located(raw, p)))
 
 
@@ -74,23 +70,52 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _total(nums: Column) -> Column:
+    return F.aggregate(nums, F.lit(0), lambda a, x: a + x)
+
+
+def _blocks(n: Column) -> Column:
+    """0 .. the number of blocks of ``BLOCK`` - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), ((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def running(nums: Column, f) -> Column:
+    """``f(before)``, where ``before(i)`` is the sum of the first i elements of an array of ints.
+
+    Sums are kept of blocks and of blocks of blocks, so that a sum adds few numbers
+    however long the array is, and nothing is appended element by element.
+    """
+    part = lambda arr, i: F.slice(arr, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)
+    at = lambda arr, i: F.get(arr, (i / BLOCK).cast("int"))
+    sums = lambda arr: F.transform(_blocks(F.size(arr)), lambda b: _total(F.slice(arr, b * BLOCK + 1, BLOCK)))
+
+    def based(one, two):
+        # Sums before each block of blocks, then before each block.
+        far = F.transform(_blocks(F.size(one)), lambda b: _total(F.slice(two, F.lit(1), b)))
+        near = lambda far: F.transform(_blocks(F.size(nums)), lambda b: at(far, b) + _total(part(one, b)))
+        return let(far, lambda far: let(near(far), lambda base: f(lambda i: at(base, i) + _total(part(nums, i)))))
+
+    return let(sums(nums), lambda one: let(sums(one), lambda two: based(one, two)))
+
+
 def _located(raw: Column, p: ScriptProfile) -> Column:
-    blocks = F.when(F.size(raw) > 0, F.sequence(F.lit(0), ((F.size(raw) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    part = lambda b: F.slice(raw, b * BLOCK + 1, BLOCK)
-    sums = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda a, x: a + F.length(x)))
-
-    def add(acc, v):
-        kind = F.when(v.rlike(f"^[{p.digit}]"), "number").when(v.rlike(f"^[{p.word}]"), "word").otherwise("other")
-        end = acc["at"] + F.length(v)
-        one = F.struct(acc["pos"].alias("pos"), kind.alias("type"), v.alias("value"), acc["at"].alias("start"), end.alias("end"))
-        return F.struct((acc["pos"] + 1).alias("pos"), end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    def placed(sums):
-        base = lambda b: F.aggregate(F.slice(sums, 1, b), F.lit(0), lambda a, x: a + x)
-        start = lambda b: F.struct((b * BLOCK).alias("pos"), base(b).alias("at"), F.array().cast(TOKEN).alias("out"))
-        return F.flatten(F.transform(blocks, lambda b: F.aggregate(part(b), start(b), add, lambda acc: acc["out"])))
-
-    return let(sums, placed)
+    kind = lambda v: F.when(v.rlike(f"^[{p.digit}]"), "number").when(v.rlike(f"^[{p.word}]"), "word").otherwise("other")
+
+    def placed(before):
+        return F.transform(raw, lambda v, i: let(before(i), lambda s: F.struct(i.alias("pos"), kind(v).alias("type"), v.alias("value"), s.alias("start"), (s + F.length(v)).alias("end"))))
+
+    return let(F.transform(raw, lambda v: F.length(v)), lambda lens: running(lens, placed))
+
+
+def spliced(arr: Column, at: Column, width: int, put) -> Column:
+    """``arr`` with ``width`` elements from each place of ``at`` (ascending, without overlap) replaced by ``put(place)``."""
+
+    def one(arr, at):
+        begin = lambda j: F.when(j > 0, F.get(at, j - 1) + width).otherwise(0)
+        head = F.flatten(F.transform(at, lambda i, j: F.concat(F.slice(arr, begin(j) + 1, i - begin(j)), F.array(put(i, j)))))
+        return F.concat(head, F.slice(arr, F.element_at(at, -1) + width + 1, F.size(arr)))
+
+    return let(arr, lambda x: let(at, lambda y: one(x, y)))
 
 
 def reconstruct(toks: Column) -> Column:

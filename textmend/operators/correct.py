@@ -1,24 +1,24 @@
 """Text correction: the flagship transform.
 
 Normalise, tokenise, heal, then correct the words that the lexicon cannot explain.
-The costly part, generating and resolving candidates, runs once per distinct word; a
-token only picks the best of its word's candidates in its own context.  The left
-neighbour counts as already corrected: choices are made again with the neighbours'
-choices until none changes, which takes one more pass than the longest chain of
-words whose candidates are sort neighbours of each other.
+A text stays one row with its tokens as an array.  Only distinct words go through the
+candidate joins; what they yield for a text comes back as a small dictionary, and one
+ordered fold over the text's unexplained words picks the best candidate of each in its
+context, where the left neighbour counts as already corrected.  Every text is joined
+twice with what was found for it, and no window or group holds a text's tokens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..script import ScriptProfile
-from ..staging import stage
+from ..staging import scope, small, stage
 from . import candidates as C
 from . import heal, morph
-from .lexicon import Lexicon, small
+from .lexicon import Lexicon
 
 CORRECTION = "array<struct<original:string,correction:string,edit_distance:double,type:string,start:int,end:int>>"
 
@@ -44,72 +44,118 @@ def choose(cands, prev, nxt, n_words):
     return F.array_min(F.transform(cands, key))
 
 
+def per_word(words: DataFrame, lex: Lexicon, p: ScriptProfile) -> DataFrame:
+    """(word, cands) of distinct words that are not valid and have candidates; cands with their distances."""
+    c = candidates_of(words, lex, p).withColumn("dist", T.weighted_distance(F.col("word"), F.col("cand"), p))
+    return c.groupBy("word").agg(F.collect_list(F.struct("cand", "cost", "type", "gen", "ord", "before", "after", "seen", "dist")).alias("cands"))
+
+
 def suggest(words: DataFrame, lex: Lexicon, p: ScriptProfile) -> DataFrame:
     """(word, correction, edit_distance, type) of single words without context."""
-    n = lex.size
-    arr = F.collect_list(F.struct("cand", "cost", "type", "gen", "ord", "before", "after", "seen")).alias("cands")
-    got = candidates_of(words.select("word").distinct(), lex, p).groupBy("word").agg(arr)
     none = F.lit(None).cast("string")
-    top = got.select("word", choose(F.col("cands"), none, none, n).alias("b")).filter(F.col("b.cand") != F.col("word"))
+    with scope() as s:
+        got = per_word(words.select("word").distinct(), lex, p)
+        top = got.select("word", choose(F.col("cands"), none, none, lex.size).alias("b")).filter(F.col("b.cand") != F.col("word"))
+        top = s.keep(stage(top))
     out = words.join(top, "word", "left")
     dist = F.when(F.col("b").isNotNull(), T.weighted_distance(F.col("word"), F.col("b.cand"), p)).otherwise(0.0)
     return out.select("word", F.coalesce("b.cand", "word").alias("correction"), dist.alias("edit_distance"), F.coalesce("b.type", F.lit("none")).alias("type"))
 
 
+#: Choices are collected in blocks, so that a fold appends to short arrays only.
+FOLD = 32
+
+
+def folded(words: Column, found: Column, n_words: int) -> Column:
+    """array<struct<k,word,cand,type,dist>>: the choice for every word that has candidates, in order.
+
+    ``words``: a text's words; ``found``: array<struct<word,ks,cands>>, its words with
+    candidates and their places.  A word's left neighbour is what was chosen for it.
+    """
+    at = F.array_sort(F.flatten(F.transform(found, lambda x, d: F.transform(x["ks"], lambda k: F.struct(k.alias("k"), d.alias("d"))))))
+    out = "array<struct<k:int,word:string,cand:string,type:string,dist:double>>"
+
+    def fold(at):
+        n = F.size(at)
+        blocks = F.when(n > 0, F.sequence(F.lit(0), ((n - 1) / FOLD).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+        def one(acc, x):
+            k, cands = x["k"], F.get(found, x["d"])["cands"]
+            prev = F.when(acc["k"] == k - 1, acc["cand"]).when(k > 0, F.get(words, k - 1))
+
+            def put(b):
+                dist = F.element_at(F.filter(cands, lambda c: c["cand"] == b["cand"]), 1)["dist"]
+                row = F.struct(k.alias("k"), F.get(words, k).alias("word"), b["cand"].alias("cand"), b["type"].alias("type"), dist.alias("dist"))
+                return F.struct(k.alias("k"), b["cand"].alias("cand"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+            return T.let(choose(cands, prev, F.get(words, k + 1), n_words), put)
+
+        def block(acc, b):
+            start = F.struct(acc["k"].alias("k"), acc["cand"].alias("cand"), F.array().cast(out).alias("out"))
+            done = F.aggregate(F.slice(at, b * FOLD + 1, FOLD), start, one)
+            return T.let(done, lambda d: F.struct(d["k"].alias("k"), d["cand"].alias("cand"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        first = F.struct(F.lit(-2).alias("k"), F.lit(None).cast("string").alias("cand"), F.array().cast(f"array<{out}>").alias("out"))
+        return F.aggregate(blocks, first, block, lambda acc: F.flatten(acc["out"]))
+
+    return T.let(at, fold)
+
+
 class Corrected:
-    """Tables of one correction run: tokens (with choices) and corrections, both keyed by the id."""
-
-    def __init__(self, docs, tokens, corrections, id_col, text_col):
-        self.docs, self.tokens, self.corrections, self.id_col, self.text_col = docs, tokens, corrections, id_col, text_col
-
-    def texts(self) -> DataFrame:
-        """One row per text: original, corrected, has_errors, total_words, total_corrections, accuracy_rate, corrections."""
-        k = self.id_col
-        built = self.tokens.groupBy(k).agg(
-            F.array_sort(F.collect_list(F.struct("pos", F.coalesce("chosen", "value").alias("v")))).alias("vs"), F.count_if(F.col("type") == "word").alias("total_words")
-        )
-        made = self.corrections.groupBy(k).agg(F.array_sort(F.collect_list(F.struct(F.col("kind_ord"), F.col("start"), F.struct("original", "correction", "edit_distance", "type", "start", "end").alias("c")))).alias("cs"))
-        none = F.array().cast(CORRECTION)
-        out = self.docs.join(built, k, "left").join(made, k, "left")
-        total = F.coalesce(F.size("cs"), F.lit(0))
-        total = F.when(F.col("cs").isNull(), 0).otherwise(total)
-        n = F.coalesce("total_words", F.lit(0))
-        return out.select(
-            k, F.col(self.text_col).alias("original"), F.coalesce(F.array_join(F.transform("vs", lambda x: x["v"]), ""), F.col(self.text_col)).alias("corrected"),
-            (total > 0).alias("has_errors"), n.alias("total_words"), total.alias("total_corrections"),
-            F.round((1.0 - total / F.greatest(n, F.lit(1))) * 100, 1).alias("accuracy_rate"), F.coalesce(F.transform("cs", lambda x: x["c"]), none).alias("corrections"),
-        )
+    """Corrected texts: the input's columns beside corrected, corrections and counts, as one staged table."""
+
+    def __init__(self, table: DataFrame, columns: list[str], id_col: str, text_col: str):
+        self.table, self.columns, self.id_col, self.text_col = table, columns, id_col, text_col
 
+    def texts(self, keep: list[str] | None = None) -> DataFrame:
+        """One row per text: original, corrected, has_errors, total_words, total_corrections, accuracy_rate, corrections.
 
-def correct(docs: DataFrame, lex: Lexicon, p: ScriptProfile, *, id_col="doc_id", text_col="text", max_rounds: int = 20) -> Corrected:
-    n_words = lex.size
-    toks = stage(tokenize(docs, p, id_col=id_col, text_col=text_col))
-    healed = stage(heal.pairs(toks, lex, p, key=id_col))
-    toks = stage(heal.merge(toks, healed, key=id_col))
-    words = toks.filter("type = 'word'").select(F.col("value").alias("word")).distinct()
-    arr = F.collect_list(F.struct("cand", "cost", "type", "gen", "ord", "before", "after", "seen")).alias("cands")
-    per_word = small(stage(candidates_of(words, lex, p).groupBy("word").agg(arr)), 50_000)
-    # Candidates are looked up once for the words in order; other tokens only keep their place.
-    w = Window.partitionBy(id_col).orderBy("pos")
-    line = toks.filter("type = 'word'").select(id_col, "pos", F.col("value").alias("word"), F.lead("value").over(w).alias("nxt"), F.lag("value").over(w).alias("prev0"))
-    line = stage(line.join(per_word, "word", "left"))
-    pick = lambda prev: F.when(F.col("cands").isNotNull(), choose(F.col("cands"), prev, F.col("nxt"), n_words))
-    cur = line.withColumn("b", pick(F.col("prev0")))
-    for _ in range(max_rounds):
-        # Only a word with candidates next to another such word can see a changed neighbour.
-        seen = stage(cur.withColumn("prev", F.lag(F.coalesce("b.cand", "word")).over(w)).withColumn("b2", pick(F.col("prev"))))
-        moved = seen.filter(~F.col("b2.cand").eqNullSafe(F.col("b.cand"))).limit(1).count()
-        cur = seen.drop("b", "prev").withColumnRenamed("b2", "b")
-        if not moved:
-            break
-    won = stage(cur.filter(F.col("b").isNotNull() & (F.col("b.cand") != F.col("word"))).select(id_col, "pos", "word", F.col("b.cand").alias("chosen"), F.col("b.type").alias("ctype")))
-    dist = won.select("word", "chosen").distinct().withColumn("d", F.round(T.weighted_distance(F.col("word"), F.col("chosen"), p), 2))
-    won = won.join(dist, ["word", "chosen"])
-    full = toks.join(won.select(id_col, "pos", "chosen", "ctype", "d"), [id_col, "pos"], "left")
-    full = stage(full)
-    spaced = healed.select(id_col, F.lit(0).alias("kind_ord"), F.concat_ws(" ", "w1", "w2").alias("original"), F.concat("w1", "w2").alias("correction"), F.lit(0.5).alias("edit_distance"), F.lit("ocr_repair").alias("type"), "start", "end")
-    single = full.filter("chosen IS NOT NULL").select(id_col, F.lit(1).alias("kind_ord"), F.col("value").alias("original"), F.col("chosen").alias("correction"), F.col("d").alias("edit_distance"), F.col("ctype").alias("type"), "start", "end")
-    return Corrected(docs.select(id_col, text_col), full, spaced.unionByName(single), id_col, text_col)
+        ``keep``: columns of the input to have instead of the id and the original.
+        """
+        first = [self.id_col, F.col(self.text_col).alias("original")] if keep is None else keep
+        n, total = F.col("__words"), F.size("__corrections")
+        return self.table.select(
+            *first, F.col("__corrected").alias("corrected"), (total > 0).alias("has_errors"), n.alias("total_words"), total.alias("total_corrections"),
+            F.round((1.0 - total / F.greatest(n, F.lit(1))) * 100, 1).alias("accuracy_rate"), F.col("__corrections").alias("corrections"),
+        )
+
+    @property
+    def corrections(self) -> DataFrame:
+        """(id, original, correction, edit_distance, type, start, end): a row per correction."""
+        return self.table.select(self.id_col, F.explode("__corrections").alias("c")).select(self.id_col, "c.*")
+
+
+def correct(docs: DataFrame, lex: Lexicon, p: ScriptProfile, *, id_col="doc_id", text_col="text") -> Corrected:
+    """Rows are texts of their own: equal or null ids are not mixed up; a null text stays null, without words."""
+    with scope() as s:
+        base = docs.withColumn("__row", F.monotonically_increasing_id())
+        base = stage(base.withColumn("__toks", T.tokens(T.normalise(F.col(text_col), p), p)))
+        healed = stage(heal.pairs(base, lex, p, key="__row", toks_col="__toks"))
+        fix = F.struct(F.concat_ws(" ", "w1", "w2").alias("original"), F.concat("w1", "w2").alias("correction"), F.lit(0.5).alias("edit_distance"), F.lit("ocr_repair").alias("type"), "start", "end")
+        joins = healed.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", fix.alias("fix")))).alias("__heal"))
+        t = base.select("__row", "__toks").join(joins, "__row", "left")
+        t = t.select("__row", heal.merged(F.col("__toks"), F.transform("__heal", lambda x: x["pos"])).alias("__toks"), F.transform("__heal", lambda x: x["fix"]).alias("__fixes"))
+        # Words with the place of their token.
+        places = F.filter(F.transform("__toks", lambda x, i: F.struct(x["type"].alias("type"), x["value"].alias("value"), i.alias("at"))), lambda x: x["type"] == "word")
+        t = stage(t.withColumn("__places", F.transform(places, lambda x: x["at"])).withColumn("__ws", F.transform(places, lambda x: x["value"])))
+        words = t.select(F.explode(F.array_distinct("__ws")).alias("word")).distinct()
+        known = stage(per_word(words, lex, p))
+        # The dictionary of each text: its words with candidates, and where they are.
+        hits = t.select("__row", F.posexplode("__ws").alias("k", "word")).join(small(known.select("word")), "word", "left_semi")
+        hits = hits.groupBy("__row", "word").agg(F.collect_list("k").alias("ks")).join(small(known), "word")
+        found = hits.groupBy("__row").agg(F.collect_list(F.struct("word", "ks", "cands")).alias("__found"))
+        done = t.join(found, "__row", "left").withColumn("__made", F.when(F.col("__found").isNotNull(), F.filter(folded(F.col("__ws"), F.col("__found"), lex.size), lambda x: x["cand"] != x["word"])))
+        done = stage(done.select("__row", "__toks", "__fixes", "__places", F.size("__ws").alias("__words"), "__made"))
+        at = F.transform("__made", lambda x: F.get("__places", x["k"]))
+        values = F.transform("__toks", lambda x: x["value"])
+        new = F.when(F.coalesce(F.size("__made"), F.lit(0)) > 0, T.spliced(values, at, 1, lambda i, j: F.get(F.col("__made"), j)["cand"])).otherwise(values)
+        token = lambda x: F.get("__toks", F.get("__places", x["k"]))
+        single = F.transform("__made", lambda x: F.struct(x["word"].alias("original"), x["cand"].alias("correction"), F.round(x["dist"], 2).alias("edit_distance"), x["type"].alias("type"), token(x)["start"].alias("start"), token(x)["end"].alias("end")))
+        none = F.array().cast(CORRECTION)
+        fixes = F.concat(F.coalesce(F.col("__fixes").cast(CORRECTION), none), F.coalesce(single.cast(CORRECTION), none))
+        done = done.select("__row", F.array_join(new, "").alias("__corrected"), F.greatest(F.coalesce("__words", F.lit(0)), F.lit(0)).alias("__words"), fixes.alias("__corrections"))
+        out = s.keep(stage(base.drop("__toks").join(done, "__row").drop("__row")))
+    return Corrected(out, docs.columns, id_col, text_col)
 
 
 def summary(corrections: DataFrame) -> DataFrame:

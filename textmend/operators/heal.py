@@ -1,54 +1,58 @@
 """Healing words that a stray blank split in two.
 
 Eligible neighbours form islands; merging left to right without overlap takes every
-other pair of an island, which is a window expression and needs no loop.
+other pair of an island, which is a window expression over eligible pairs alone.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..script import ScriptProfile
-from ..staging import stage
+from ..staging import small, stage
 from . import morph
 from .lexicon import Lexicon
 
 
-def pairs(tokens: DataFrame, lexicon: Lexicon, p: ScriptProfile, *, key="doc_id") -> DataFrame:
+def near(toks: Column, p: ScriptProfile) -> Column:
+    """array<struct<pos,start,end,w1,w2>>: words of a token array with one blank between them, protected words aside."""
+    at = F.when(F.size(toks) > 2, F.sequence(F.lit(0), F.size(toks) - 3)).otherwise(F.array().cast("array<int>"))
+    t = lambda i, c: F.get(toks, i)[c]
+    fine = lambda i: (t(i, "type") == "word") & (t(i + 1, "value") == " ") & (t(i + 2, "type") == "word")
+    some = F.transform(F.filter(at, fine), lambda i: F.struct(i.alias("pos"), t(i, "start").alias("start"), t(i + 2, "end").alias("end"), t(i, "value").alias("w1"), t(i + 2, "value").alias("w2")))
+    return F.filter(some, lambda x: ~x["w1"].isin(*p.protected) & ~x["w2"].isin(*p.protected))
+
+
+def pairs(texts: DataFrame, lexicon: Lexicon, p: ScriptProfile, *, key="doc_id", toks_col="toks") -> DataFrame:
     """(key, pos, start, end, w1, w2) of the pairs that are merged.
 
-    ``tokens`` has (key, pos, type, value, start, end).  Pair candidates are judged per
-    distinct pair of words, not per place.
+    ``texts`` has the key (unique) and an array of tokens, whose pos is their place in
+    it.  Pairs are found within each text and judged once per distinct pair of words.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    t = tokens.select(key, "pos", "type", "value", "start", F.lead("value", 1).over(w).alias("gap"), F.lead("type", 2).over(w).alias("t2"), F.lead("value", 2).over(w).alias("w2"), F.lead("end", 2).over(w).alias("end"))
-    near = t.filter((F.col("type") == "word") & (F.col("gap") == " ") & (F.col("t2") == "word")).select(key, "pos", "start", "end", F.col("value").alias("w1"), "w2")
-    near = near.filter(~F.col("w1").isin(*p.protected) & ~F.col("w2").isin(*p.protected))
+    some = stage(texts.select(key, F.explode(near(F.col(toks_col), p)).alias("n")).select(key, "n.*"))
     # A second word that is a suffix or starts like an auxiliary needs no lookup.
     aux = reduce(lambda x, a: x | F.startswith("w2", F.lit(a)), p.auxiliaries, F.lit(False))
     sure = F.col("w2").isin(*p.suffixes) | aux
-    near = stage(near)
-    both = stage(near.select("w1", "w2", F.concat("w1", "w2").alias("word")).distinct())
+    both = stage(some.filter(~sure).select("w1", "w2", F.concat("w1", "w2").alias("word")).distinct())
     lex = lexicon.words()
-    asked = both.filter(~sure)
-    joined = asked.join(lex, "word", "left_semi")
-    rest = stage(asked.join(lex, "word", "left_anti").join(lexicon.words("w1"), "w1", "left_anti"))
+    joined = both.join(lex, "word", "left_semi")
+    rest = stage(both.join(lex, "word", "left_anti").join(lexicon.words("w1"), "w1", "left_anti"))
     parts = morph.decompose(rest.select("word").distinct(), lexicon, p).select("word")
-    good = both.filter(sure).select("w1", "w2").unionByName(joined.select("w1", "w2")).unionByName(rest.join(parts, "word", "left_semi").select("w1", "w2")).distinct()
-    # Positions of words within the text: pairs j and j+1 are neighbours if they share a word.
-    ok = near.join(good, ["w1", "w2"])
+    good = stage(joined.select("w1", "w2").unionByName(rest.join(parts, "word", "left_semi").select("w1", "w2")).distinct())
+    ok = some.filter(sure).unionByName(some.filter(~sure).join(small(good), ["w1", "w2"], "left_semi"))
+    # Pairs at places i and i + 2 share a word.
     o = Window.partitionBy(key).orderBy("pos")
     isle = ok.withColumn("isle", F.col("pos") - 2 * F.row_number().over(o))
     turn = F.row_number().over(Window.partitionBy(key, "isle").orderBy("pos"))
     return isle.withColumn("turn", turn).filter("turn % 2 = 1").select(key, "pos", "start", "end", "w1", "w2")
 
 
-def merge(tokens: DataFrame, healed: DataFrame, *, key="doc_id") -> DataFrame:
-    """``tokens`` with each healed pair as one word at the first one's place."""
-    w = Window.partitionBy(key).orderBy("pos")
-    h = healed.select(key, "pos", F.concat("w1", "w2").alias("joined"), F.col("end").alias("end2"))
-    t = tokens.join(h, [key, "pos"], "left").withColumn("gone", F.coalesce(F.lag("joined", 1).over(w), F.lag("joined", 2).over(w)).isNotNull())
-    return t.filter("NOT gone").select(key, "pos", "type", F.coalesce("joined", "value").alias("value"), "start", F.coalesce("end2", "end").alias("end"), F.col("joined").isNotNull().alias("healed"))
+def merged(toks: Column, at: Column) -> Column:
+    """A token array with the pairs that start at the places ``at`` (ascending; null: none) as one word each."""
+    t = lambda i, c: F.get(toks, i)[c]
+    one = lambda i, j: F.struct(t(i, "pos").alias("pos"), t(i, "type").alias("type"), F.concat(t(i, "value"), t(i + 2, "value")).alias("value"), t(i, "start").alias("start"), t(i + 2, "end").alias("end"))
+    return F.when(F.coalesce(F.size(at), F.lit(0)) > 0, T.spliced(toks, at, 3, one)).otherwise(toks)

@@ -73,10 +73,23 @@ def page_stats(pages: DataFrame, p: ScriptProfile) -> DataFrame:
     return g.withColumn("is_searchable", ((c > 50) & (s > 0.05 * c)) | (c > 200))
 
 
-def within_cap(stats: DataFrame, cap: int = MAX_PAGES) -> tuple[DataFrame, DataFrame]:
-    """Documents up to the page cap, and those over it with a reason."""
-    over = F.col("page_count") > cap
-    return stats.filter(~over), stats.filter(over).withColumn("error", F.format_string(f"PDF has %d pages; the limit is {cap}", "page_count"))
+def routes(info: DataFrame, blocks: DataFrame, p: ScriptProfile, cap: int = MAX_PAGES) -> DataFrame:
+    """info with total_chars, script_chars, is_searchable and route: digital, scanned or rejected (then with an error).
+
+    ``info``: doc_id, page_count, error, one row per PDF; ``blocks``: text blocks, with an
+    error in place of a page where they could not be read.  Every PDF has a row: one
+    without any text counts 0 characters, is not searchable, and so is scanned.
+    """
+    pages = blocks.filter("page_num IS NOT NULL").groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    stats = page_stats(pages, p).drop("page_count")
+    broken = blocks.filter("error IS NOT NULL").groupBy("doc_id").agg(F.min("error").alias("block_error"))
+    out = info.join(stats, "doc_id", "left").join(broken, "doc_id", "left")
+    over = F.when(F.col("page_count") > cap, F.format_string(f"PDF has %d pages; the limit is {cap}", "page_count")).when(F.coalesce("page_count", F.lit(0)) < 1, "PDF has no pages")
+    error = F.coalesce("error", over, "block_error")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    keep = [c for c in info.columns if c != "error"]
+    out = out.select(*keep, n("total_chars"), n("script_chars"), F.coalesce("is_searchable", F.lit(False)).alias("is_searchable"), error.alias("error"))
+    return out.withColumn("route", F.when(F.col("error").isNotNull(), "rejected").when(F.col("is_searchable"), "digital").otherwise("scanned"))
 
 
 def page_texts(lines: DataFrame) -> DataFrame:

@@ -7,22 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..script import ScriptProfile
-from ..staging import stage
+from ..staging import scope, stage
 
 #: Lexicons up to this many words are broadcast, after a count; larger ones join by shuffle.
 MAX_BROADCAST = 2_000_000
 
 
-def small(df: DataFrame, bound: int = MAX_BROADCAST) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``bound`` rows (counted on a persisted or cheap table)."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 class Lexicon:
     """Distinct words with their place in sort order, counted once to settle how they are joined."""
 
     def __init__(self, words: DataFrame):
-        self.table = stage(ordered(words))
+        with scope() as s:
+            self.table = s.keep(stage(ordered(words)))
         self.size = self.table.count()
 
     def words(self, name: str = "word") -> DataFrame:
@@ -68,12 +64,12 @@ def expand(bases: DataFrame, affixes: DataFrame, p: ScriptProfile) -> DataFrame:
 
 
 def load(spark: SparkSession, dic: str, p: ScriptProfile, aff: str | None = None, core: list[str] | DataFrame | None = None) -> DataFrame:
-    """A lexicon from files and further core words, persisted."""
+    """The words of files and further core words."""
     bases = read_dic(spark, dic, p)
     words = expand(bases, read_aff(spark, aff), p) if aff else bases.select(F.col("base").alias("word")).distinct()
     if core is not None:
         words = words.unionByName(core if isinstance(core, DataFrame) else literal_table(spark, [(w,) for w in core], ["word"])).distinct()
-    return words.persist()
+    return words
 
 
 def from_documents(docs: DataFrame, p: ScriptProfile, *, id_col="doc_id", text_col="text", min_docs: int = 3) -> DataFrame:
@@ -90,7 +86,7 @@ def ordered(lexicon: DataFrame) -> DataFrame:
     A range partitioning sorts in parallel; ranks are offsets of partitions plus ranks within
     them, and the neighbours over partition borders come from one row per partition.
     """
-    part = lexicon.select("word").distinct().repartitionByRange("word").withColumn("p", F.spark_partition_id()).persist()
+    part = stage(lexicon.select("word").distinct().repartitionByRange("word").withColumn("p", F.spark_partition_id()))
     w = Window.partitionBy("p").orderBy("word")
     ends = part.groupBy("p").agg(F.count("*").alias("n"), F.min("word").alias("lo"), F.max("word").alias("hi"))
     e = Window.orderBy("p")  # one row per partition

@@ -26,15 +26,28 @@ class Result:
     corrections: DataFrame
     pages: DataFrame  # doc_id, page_num, raw_text, corrected_text, has_errors, corrections
     report: DataFrame  # one row per document, nested
-    rejected: DataFrame  # documents without a way in, or over the page cap, with a reason
+    rejected: DataFrame  # documents without a way in, unreadable or over the page cap, with a reason
+    images: DataFrame | None = None  # page images that were recognised
+
+
+@dataclass
+class Intake:
+    lines: DataFrame  # layout lines of all documents that have any
+    pages: DataFrame  # doc_id, page_num: pages of the report, blank ones included where they were drawn
+    documents: DataFrame  # a row per file: doc_id, route (digital, scanned, image, rejected), page_count, metadata, error
+    images: DataFrame  # doc_id, page_num, image
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.documents.filter("route = 'rejected'").select("doc_id", "error")
 
 
 class Engine:
     """A lexicon and a profile, ready to correct.  Nothing is global; make as many as needed."""
 
-    def __init__(self, lexicon: Lexicon | DataFrame, profile: ScriptProfile, ocr=None, pdf=None):
+    def __init__(self, lexicon: Lexicon | DataFrame, profile: ScriptProfile, ocr=None, pdf=None, images=None):
         self.lexicon = lexicon if isinstance(lexicon, Lexicon) else Lexicon(lexicon)
-        self.profile, self.ocr, self.pdf = profile, ocr, pdf
+        self.profile, self.ocr, self.pdf, self.images = profile, ocr, pdf, images
 
     def correct(self, df: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
         return correct.correct(df, self.lexicon, self.profile, id_col=id_col, text_col=text_col).texts()
@@ -44,43 +57,71 @@ class Engine:
 
     def correct_lines(self, lines: DataFrame) -> DataFrame:
         """Layout lines with corrected text, original_text and corrections; layout columns stay."""
-        keyed = stage(layout.with_defaults(lines).withColumn("line_id", F.xxhash64("doc_id", "page_num", "line_ord")))
-        texts = correct.correct(keyed, self.lexicon, self.profile, id_col="line_id").texts()
-        out = keyed.withColumnRenamed("text", "original_text").join(texts.select("line_id", F.col("corrected").alias("text"), "has_errors", "total_words", "corrections"), "line_id")
-        return out.drop("line_id")
+        lines = layout.with_defaults(lines)
+        keep = [c for c in lines.columns if c not in {"text", "corrected", "has_errors", "total_words", "total_corrections", "accuracy_rate", "corrections"}]
+        out = correct.correct(lines, self.lexicon, self.profile).texts([*keep, F.col("text").alias("original_text")])
+        return out.drop("total_corrections", "accuracy_rate").withColumnRenamed("corrected", "text")
 
-    def lines_of(self, files: DataFrame, *, lang: str = "kan+eng", dpi: int = 300, first: int | None = None, last: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(layout lines, rejected documents) of files (path, content)."""
+    def intake(self, files: DataFrame, *, lang: str = "kan+eng", dpi: int = 300, first: int | None = None, last: int | None = None, contrast: bool = False) -> Intake:
+        """Files (path, content) by their way in: every file is in ``documents``, with a route or with an error."""
         doc = files.withColumn("doc_id", F.col("path"))
-        known = T.is_pdf(F.col("path")) | T.is_image(F.col("path"))
-        bad = doc.filter(~known).select("doc_id", F.lit("unsupported file type").alias("error"))
         pdfs, images = doc.filter(T.is_pdf(F.col("path"))), doc.filter(T.is_image(F.col("path")))
-        blocks = stage(backends.text_blocks(pdfs, self.pdf))
-        pages = blocks.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
-        ok, over = layout.within_cap(stage(layout.page_stats(pages, self.profile)))
-        digital = layout.block_lines(blocks.join(ok.filter("is_searchable").select("doc_id"), "doc_id", "left_semi"))
-        scans = pdfs.join(ok.filter("NOT is_searchable").select("doc_id"), "doc_id", "left_semi")
-        rasters = backends.rasterize(scans, self.pdf, dpi=dpi, first=first, last=last).unionByName(images.select("doc_id", F.lit(1).alias("page_num"), F.col("content").alias("image")))
-        scanned = layout.ocr_lines(backends.word_boxes(rasters, self.ocr, lang=lang))
-        return digital.unionByName(scanned), bad.unionByName(over.select("doc_id", "error"))
+        other = doc.filter(~(T.is_pdf(F.col("path")) | T.is_image(F.col("path"))))
+        info = stage(backends.inspect(pdfs, self.pdf))
+        # Files over the cap are not read any further.
+        sound = info.filter(F.col("error").isNull() & F.col("page_count").between(1, layout.MAX_PAGES)).select("doc_id")
+        blocks = stage(backends.text_blocks(pdfs.join(sound, "doc_id", "left_semi"), self.pdf))
+        ways = stage(layout.routes(info, blocks, self.profile))
+        digital = layout.block_lines(blocks.filter("page_num IS NOT NULL").join(ways.filter("route = 'digital'").select("doc_id"), "doc_id", "left_semi"))
+        scans = pdfs.join(ways.filter("route = 'scanned'").select("doc_id"), "doc_id", "left_semi")
+        # Drawing and recognition are the dear steps: their results are written once.
+        drawn = stage(backends.rasterize(scans, self.pdf, dpi=dpi, first=first, last=last))
+        rasters = drawn.filter("error IS NULL").select("doc_id", "page_num", "image").unionByName(images.select("doc_id", F.lit(1).alias("page_num"), F.col("content").alias("image")))
+        if self.images is not None:
+            rasters = backends.prepare(rasters, self.images, contrast=contrast)
+        scanned = layout.ocr_lines(stage(backends.word_boxes(rasters, self.ocr, lang=lang)))
+        undrawn = drawn.filter("error IS NOT NULL").groupBy("doc_id").agg(F.min("error").alias("draw_error"))
+        none = F.lit(None).cast("string")
+        ways = ways.join(undrawn, "doc_id", "left").withColumn("route", F.when(F.col("draw_error").isNotNull(), "rejected").otherwise(F.col("route"))).withColumn("error", F.coalesce("error", "draw_error")).drop("draw_error")
+        single = lambda df, route, error: df.select("doc_id", F.lit(route).alias("route"), error.alias("error"))
+        documents = ways.unionByName(single(images, "image", none), allowMissingColumns=True).unionByName(single(other, "rejected", F.lit("unsupported file type")), allowMissingColumns=True)
+        documents = stage(documents)
+        fine = documents.filter("route <> 'rejected'").select("doc_id")
+        lines = digital.unionByName(scanned).join(fine, "doc_id", "left_semi")
+        # Drawn pages count even if nothing was recognised on them.
+        pages = digital.select("doc_id", "page_num").distinct().unionByName(rasters.select("doc_id", "page_num")).join(fine, "doc_id", "left_semi")
+        return Intake(lines, pages, documents, rasters)
+
+    def lines_of(self, files: DataFrame, **params) -> tuple[DataFrame, DataFrame]:
+        """(layout lines, rejected documents) of files (path, content)."""
+        got = self.intake(files, **params)
+        return got.lines, got.rejected
 
     def process(self, files: DataFrame, **params) -> Result:
-        lines, rejected = self.lines_of(files, **params)
-        return self.report(lines, rejected)
+        got = self.intake(files, **params)
+        return self.report(got.lines, got.rejected, got.pages, got.documents.filter("route <> 'rejected'").select("doc_id"), got.images)
 
-    def report(self, lines: DataFrame, rejected: DataFrame | None = None) -> Result:
+    def report(self, lines: DataFrame, rejected: DataFrame | None = None, pages: DataFrame | None = None, documents: DataFrame | None = None, images: DataFrame | None = None) -> Result:
+        """Pages and documents of layout lines; ``pages`` and ``documents`` name those that have no line as well."""
         fixed = stage(self.correct_lines(lines))
         each = fixed.select("doc_id", "page_num", "line_ord", F.explode("corrections").alias("c")).select("doc_id", "page_num", "line_ord", "c.*")
         text = lambda c: F.array_join(F.transform("ls", lambda x: x[c]), "\n")
         ls = F.array_sort(F.collect_list(F.struct("line_ord", "original_text", "text", "corrections")))
-        pages = fixed.groupBy("doc_id", "page_num").agg(ls.alias("ls")).select(
+        by_page = fixed.groupBy("doc_id", "page_num").agg(ls.alias("ls")).select(
             "doc_id", "page_num", text("original_text").alias("raw_text"), text("text").alias("corrected_text"), F.flatten(F.transform("ls", lambda x: x["corrections"])).alias("corrections")
-        ).withColumn("has_errors", F.size("corrections") > 0)
+        )
+        none = F.array().cast(correct.CORRECTION)
+        if pages is not None:
+            by_page = pages.join(by_page, ["doc_id", "page_num"], "left").select("doc_id", "page_num", *[F.coalesce(c, F.lit("")).alias(c) for c in ("raw_text", "corrected_text")], F.coalesce("corrections", none).alias("corrections"))
+        by_page = by_page.withColumn("has_errors", F.size("corrections") > 0)
         ps = F.array_sort(F.collect_list(F.struct("page_num", "raw_text", "corrected_text", "has_errors", "corrections")))
-        report = pages.groupBy("doc_id").agg(ps.alias("pages")).select(
+        grouped = by_page.groupBy("doc_id").agg(ps.alias("pages"))
+        if documents is not None:
+            grouped = documents.join(grouped, "doc_id", "left").withColumn("pages", F.coalesce("pages", F.array().cast(grouped.schema["pages"].dataType)))
+        report = grouped.select(
             "doc_id", F.size("pages").alias("total_pages"), F.flatten(F.transform("pages", lambda x: x["corrections"])).alias("corrections_summary"), "pages",
             F.array_join(F.transform("pages", lambda x: x["corrected_text"]), "\n\n").alias("full_text"),
             F.struct(sinks.output_name(F.col("doc_id"), "_corrected.pdf").alias("pdf"), sinks.output_name(F.col("doc_id"), "_corrected.txt").alias("text"), sinks.output_name(F.col("doc_id"), "_report.json").alias("json")).alias("generated_files"),
         ).withColumn("total_corrections", F.size("corrections_summary"))
-        none = fixed.sparkSession.createDataFrame([], "doc_id string, error string")
-        return Result(fixed, each, pages, report, none if rejected is None else rejected)
+        nothing = fixed.sparkSession.createDataFrame([], "doc_id string, error string")
+        return Result(fixed, each, by_page, report, nothing if rejected is None else rejected, images)

@@ -42,3 +42,12 @@ def uploads(files: DataFrame) -> DataFrame:
     """(upload_path, filename, file_size_mb) of accepted files, with safe names."""
     name = F.regexp_extract("path", r"[^/\\]*$", 0)
     return files.filter(T.file_extension(F.col("path")).isin(*SUPPORTED)).select(F.col("path").alias("upload_path"), T.safe_filename(name).alias("filename"), F.round(F.col("length") / 1048576, 2).alias("file_size_mb"))
+
+
+def system_status(spark: SparkSession, ocr=None, pdf=None, images=None) -> dict:
+    """What this installation can do: engine versions, backends, languages."""
+    installed = list(ocr.languages()) if ocr is not None else []
+    return {
+        "spark": spark.version, "ocr": bool(installed), "pdf": pdf is not None, "images": images is not None,
+        "languages": [r.code for r in languages(spark, installed).collect()] if installed else [], "formats": list(SUPPORTED),
+    }

@@ -13,15 +13,22 @@ from pyspark.sql import functions as F
 from ..operators import correct
 from ..operators.lexicon import Lexicon
 from ..script import ScriptProfile
+from ..staging import scope
 
 
-def correct_stream(texts: DataFrame, lexicon: Lexicon, p: ScriptProfile, sink, checkpoint: str | None = None, *, id_col="doc_id", text_col="text"):
-    """Start a query that gives each micro-batch's corrected texts to ``sink(df, batch_id)``."""
+def correct_stream(texts: DataFrame, lexicon: Lexicon, p: ScriptProfile, sink, checkpoint: str | None = None, *, id_col="doc_id", text_col="text", trigger: dict | None = None):
+    """Start a query that gives each micro-batch's corrected texts to ``sink(df, batch_id)``.
+
+    Tables of a batch are removed once the sink has returned.  ``trigger``: as for
+    ``DataStreamWriter.trigger``, micro-batches as fast as they come by default.
+    """
 
     def each(batch: DataFrame, batch_id: int):
-        sink(correct.correct(batch, lexicon, p, id_col=id_col, text_col=text_col).texts(), batch_id)
+        with scope():
+            sink(correct.correct(batch, lexicon, p, id_col=id_col, text_col=text_col).texts(), batch_id)
 
-    w = texts.writeStream.foreachBatch(each).trigger(availableNow=True)
+    w = texts.writeStream.foreachBatch(each)
+    w = w.trigger(**trigger) if trigger else w
     return (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
 
 
@@ -34,7 +41,7 @@ def settled(edits: DataFrame, *, quiet: str = "300 milliseconds", late: str = "1
 SESSION = "session_id string, upload_path string, total_pages int, stage string, percent int, events long"
 
 
-def sessions(events: DataFrame, *, ttl: str = "1 hour") -> DataFrame:
+def sessions(events: DataFrame, *, ttl: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Latest state per session from (session_id, ts, upload_path, total_pages, stage, percent).
 
     A session that gets no event for ``ttl`` of event time is dropped.
@@ -45,17 +52,22 @@ def sessions(events: DataFrame, *, ttl: str = "1 hour") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        now = state.get if state.exists else (None, None, None, None, 0, 0)
-        last = 0
+        # Of each field the last value that is set, and when it was said: late events change nothing newer.
+        up, up_at, pages, pages_at, stage, percent, at, n = state.get if state.exists else (None, -1, None, -1, None, 0, -1, 0)
         for f in frames:
             f = f.sort_values("ts", kind="stable")
-            row = f.iloc[-1]
-            up, pages = f.upload_path.dropna(), f.total_pages.dropna()
-            now = (up.iloc[-1] if len(up) else now[0], int(pages.iloc[-1]) if len(pages) else now[1], row.stage, int(row.percent), now[4] + len(f), 0)
-            last = max(last, int(f.ts.max().timestamp() * 1000))
-        state.update(now)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ms)
-        yield pd.DataFrame({"session_id": [key[0]], "upload_path": [now[0]], "total_pages": [now[1]], "stage": [now[2]], "percent": [now[3]], "events": [now[4]]})
-
-    state = "upload_path string, total_pages int, stage string, percent int, events long, spare int"
-    return events.withWatermark("ts", "10 minutes").groupBy("session_id").applyInPandasWithState(step, SESSION, state, "update", "EventTimeTimeout")
+            n += len(f)
+            for ts, u, m, s, pc in zip(f.ts, f.upload_path, f.total_pages, f.stage, f.percent):
+                t = int(ts.value // 1000)
+                if u is not None and not pd.isna(u) and t >= up_at:
+                    up, up_at = u, t
+                if not pd.isna(m) and t >= pages_at:
+                    pages, pages_at = int(m), t
+                if t >= at:
+                    stage, percent, at = s, int(pc), t
+        state.update((up, up_at, pages, pages_at, stage, percent, at, n))
+        state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + ms)
+        yield pd.DataFrame({"session_id": [key[0]], "upload_path": [up], "total_pages": pd.array([pages], "Int32"), "stage": [stage], "percent": [percent], "events": [n]})
+
+    state = "upload_path string, upload_at long, total_pages int, pages_at long, stage string, percent int, at long, events long"
+    return events.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(step, SESSION, state, "update", "EventTimeTimeout")

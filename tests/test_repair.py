@@ -202,7 +202,7 @@ def test_no_staged_table_is_left(spark, lex, tmp_path):
         assert correct.correct(df, lex, KANNADA).texts().count() == 2
     assert left() == before
     for i in range(3):
-        df.write.parquet(str(tmp_path / "in" / str(i)))
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
     seen = []
     reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     stream.correct_stream(reader, lex, KANNADA, lambda d, i: seen.append(d.count()), str(tmp_path / "ck"), trigger={"availableNow": True}).awaitTermination()

@@ -14,7 +14,7 @@ into one set per step: same prefix, another choice there, whose greatest Gumbel
 is truncated at the popped one.  A step is a piece at a place of the lattice, drawn with
 its probability given the place (backward sums over the lattice).  No piece crosses
 a word start, so lattices are built per unit of text, for all new units of a batch at
-once, and kept by each worker (the first ``CACHE`` units; others for the batch).  All texts of a batch go through
+once, and kept for a task (the first ``CACHE`` units; others for the batch).  All texts of a batch go through
 the search in step, so that draws and sums are array operations.  Weights of units of
 any length are summed in logarithms.
 
@@ -48,7 +48,7 @@ from . import vocab
 from .common import arrow_map, fresh, keeps, table, without
 from .token_count import model_path
 
-TOP, ALPHA, SEED, CHARS, CACHE = 2, 1.0, "pieces-1", 1 << 16, 200_000
+TOP, ALPHA, SEED, CHARS, CACHE = 2, 1.0, "pieces-1", 1 << 16, 120_000
 
 
 _U = np.uint64
@@ -440,7 +440,7 @@ class Sampler:
 
 @lru_cache(maxsize=1)
 def sampler(path: str, alpha: float, k: int) -> Sampler:
-    """One per worker process, which serves many tasks, until another operator runs there."""
+    """One per worker process, for a task."""
     return Sampler(path, alpha, k)
 
 
@@ -467,23 +467,26 @@ def encode(
 
     def run(batches):
         draw, n = sampler(path, alpha, k), len(keep)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [t or "" for t in part.column(n + 1).to_pylist()]
-                got = draw(texts, [row_seed(seed, x) for x in part.column(n).to_pylist()])
-                flat = [one for row in got for one in row]
-                ids = [one[0] for one in flat]
-                starts = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                cols = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64())]
-                if fingerprint:
-                    cols.append(pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()))
-                one = pa.StructArray.from_arrays(cols, fields=[pa.field(f, a) for f, _, a in fields])
-                out = [*[part.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), one)]
-                if verify:
-                    want = [t.replace(vocab.MARK, " ").encode("utf-8", "surrogatepass") for t in texts]
-                    out.append(pa.array([all(decoded_bytes(path, x[0]) == w for x in row) for row, w in zip(got, want)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(out, names=[*keep, *new])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    texts = [t or "" for t in part.column(n + 1).to_pylist()]
+                    got = draw(texts, [row_seed(seed, x) for x in part.column(n).to_pylist()])
+                    flat = [one for row in got for one in row]
+                    ids = [one[0] for one in flat]
+                    starts = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                    cols = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64())]
+                    if fingerprint:
+                        cols.append(pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()))
+                    one = pa.StructArray.from_arrays(cols, fields=[pa.field(f, a) for f, _, a in fields])
+                    out = [*[part.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), one)]
+                    if verify:
+                        want = [t.replace(vocab.MARK, " ").encode("utf-8", "surrogatepass") for t in texts]
+                        out.append(pa.array([all(decoded_bytes(path, x[0]) == w for x in row) for row, w in zip(got, want)], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays(out, names=[*keep, *new])
+        finally:
+            sampler.cache_clear()  # an idle worker must not hold lattices beside the stages that follow
 
     samples = T.ArrayType(T.StructType([T.StructField(f, s) for f, s, _ in fields]))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("samples", samples), *([T.StructField("decodes", T.BooleanType())] if verify else [])])

@@ -249,7 +249,7 @@ def test_command_line(spark, tmp_path, capsys):
     status = files.system_status(spark, ocr=FakeOcr(), pdf=FakePdf())
     assert status["ocr"] and status["languages"] == ["kan"] and not files.system_status(spark)["pdf"]
     names = files.uploads(spark.createDataFrame([("/x/a b?.PDF", 2 << 20), ("/x/c.exe", 1)], "path string, length long")).collect()
-    assert [(r.filename, r.file_size_mb) for r in names] == [("a b_.pdf", 2.0)]
+    assert [(r.filename, r.file_size_mb) for r in names] == [("a b.pdf", 2.0)]
     assert files.languages(spark, ["kan", "zzz"]).collect()[1].name == "zzz"
     found = sinks.find_output(spark.createDataFrame([("x_corrected.txt",), ("x_report.json",)], "path string"), "json").collect()
     assert [r.path for r in found] == ["x_report.json"]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import pathlib
 import random
 import time
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textmend import cli, staging
 from textmend.functions import text as T
-from textmend.operators import correct, layout, lexicon
+from textmend.operators import candidates, correct, heal, layout, lexicon, morph
 from textmend.plans.document import Engine
 from textmend.script import KANNADA, LATIN
 from textmend.sources import backends, files, sinks
@@ -300,3 +301,43 @@ def test_highlight(spark):
     df = spark.createDataFrame(rows, f"doc_id long, corrected string, corrections {correct.CORRECTION}")
     got = {r.doc_id: r.html for r in correct.highlight(df).collect()}
     assert got[1].count('<mark class="diff-blue">m</mark>') == 2 and got[2] == "x"
+
+
+def test_correction_stages_little(spark, tmp_path, monkeypatch):
+    """Tokens and raw candidates of all words are not written: what is staged at any time stays near the input's size."""
+    r = random.Random(5)
+    letters = "bdfgjkprvwz"
+    words = ["".join(r.choices(letters, k=6)) for _ in range(3000)]
+    lx = lexicon.Lexicon(spark.createDataFrame([(w,) for w in words], "word string"))
+    texts = [(i, " ".join(r.choices(words, k=400)) + " " + "".join(r.choices(letters, k=9)) + "b") for i in range(1500)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(4).write.parquet(str(tmp_path / "in"))
+    size = lambda paths: sum(f.stat().st_size for p in paths for f in p.rglob("*.parquet"))
+    folder = pathlib.Path(staging.shared_dir(spark).removeprefix("file:"))
+    given, old, peak, before = size([tmp_path / "in"]), staging.stage, [0], set(folder.glob("stage-*"))
+
+    def watched(df):
+        out = old(df)
+        peak[0] = max(peak[0], size(set(folder.glob("stage-*")) - before))
+        return out
+
+    for m in (correct, heal, morph, candidates):
+        monkeypatch.setattr(m, "stage", watched)
+    monkeypatch.setattr(correct, "PORTION", 300, raising=False)
+    with staging.scope():
+        got = correct.correct(spark.read.parquet(str(tmp_path / "in")), lx, LATIN).texts().agg(F.count("*").alias("n"), F.sum("total_words").alias("w")).first()
+    assert (got.n, got.w) == (1500, 1500 * 401)
+    assert peak[0] < 1.5 * given, (peak[0], given)
+
+
+def test_texts_of_one_id_count_once(spark):
+    rows = [(None, "aa bb"), (None, "aa cc"), (1, "aa bb"), (2, "bb cc"), (2, "cc"), (3, "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.word for r in lexicon.from_documents(df, LATIN, min_docs=3).orderBy("word").collect()] == ["bb", "cc"]
+
+
+def test_distances_equal_the_columns(spark):
+    r = random.Random(6)
+    rows = [("".join(r.choices("acdehiluvnmé", k=r.randint(0, 9))), "".join(r.choices("acdehiluvnmé", k=r.randint(0, 9)))) for _ in range(300)]
+    df = spark.createDataFrame([*rows, ("ab", "ab")], "a string, b string")
+    got = df.select(T.distances(F.col("a"), F.col("b"), LATIN).alias("x"), T.weighted_distance(F.col("a"), F.col("b"), LATIN).alias("y")).collect()
+    assert [x.x for x in got] == [x.y for x in got]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +66,11 @@ def tokens(col: Column, p: ScriptProfile) -> Column:
     return F.when(col.isNotNull(), let(F.regexp_extract_all(col, F.lit(token_pattern(p)), F.lit(0)), lambda raw: _located(raw, p)))
 
 
+def words(col: Column, p: ScriptProfile) -> Column:
+    """The values of the word tokens alone, as an array."""
+    return F.regexp_extract_all(col, F.lit(f"[{p.word}]+"), F.lit(0))
+
+
 def let(value: Column, f) -> Column:
     """``f(value)`` with the value worked out once, also where ``f`` uses it inside lambdas."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -161,6 +167,35 @@ def weighted_distance(a: Column, b: Column, p: ScriptProfile, limit: float = 4.0
     return F.when(a == b, 0.0).when(F.abs(F.length(a) - F.length(b)) > limit, limit + 1).otherwise(d)
 
 
+def distance(a: str, b: str, costs: dict[str, float], limit: float = 4.0) -> float:
+    """``weighted_distance`` of two strings; ``costs``: of substitutions, by both characters."""
+    if a == b:
+        return 0.0
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
+    row = [float(j) for j in range(len(b) + 1)]
+    for ca in a:
+        new = [row[0] + 1.0]
+        for j, cb in enumerate(b):
+            sub = 0.0 if ca == cb else costs.get(ca + cb, 1.0)
+            new.append(min(new[j] + 1.0, row[j + 1] + 1.0, row[j] + sub))
+        if min(new) > limit:
+            return limit + 1
+        row = new
+    return row[-1]
+
+
+def distances(a: Column, b: Column, p: ScriptProfile, limit: float = 4.0) -> Column:
+    """``weighted_distance`` of many pairs, in Arrow batches: a fraction of the time that nested lambdas take."""
+    costs = {x + y: c for x, y, c, _ in p.directed if len(x) == len(y) == 1}
+
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else distance(x, y, costs, limit) for x, y in zip(xs.to_pylist(), ys.to_pylist())], pa.float64())
+
+    run.__annotations__ = {"xs": pa.Array, "ys": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(a, b)
+
+
 def _texts(values) -> str:
     quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return "cast(array(" + ", ".join(map(quote, values)) + ") AS array<string>)"

@@ -1,21 +1,27 @@
 """Text correction: the flagship transform.
 
 Normalise, tokenise, heal, then correct the words that the lexicon cannot explain.
-A text stays one row with its tokens as an array.  Only distinct words go through the
-candidate joins; what they yield for a text comes back as a small dictionary, and one
-ordered fold over the text's unexplained words picks the best candidate of each in its
-context, where the left neighbour counts as already corrected.  Every text is joined
-twice with what was found for it, and no window or group holds a text's tokens.
+Only distinct words and pairs of words go through joins; what they yield for a text comes
+back as a small dictionary, and one ordered fold over the text (in Arrow batches) merges
+pairs and picks the best candidate of each unexplained word in its context, where the left
+neighbour counts as already corrected.  Tokens are never written or shuffled; every text is
+joined once with what was found for it.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from functools import lru_cache
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..script import ScriptProfile
-from ..staging import scope, small, stage
+from ..staging import free, scope, ship, small, stage
 from . import candidates as C
 from . import heal, morph
 from .lexicon import Lexicon
@@ -29,10 +35,28 @@ def tokenize(docs: DataFrame, p: ScriptProfile, *, id_col="doc_id", text_col="te
     return docs.select(id_col, F.explode(T.tokens(t, p)).alias("t")).select(id_col, "t.pos", "t.type", "t.value", "t.start", "t.end")
 
 
+#: Words whose raw candidates are worked out at one time, and the most portions of a table.
+PORTION, PORTIONS = 50_000, 24
+
+
 def candidates_of(words: DataFrame, lex: Lexicon, p: ScriptProfile) -> DataFrame:
-    """(word, cand, cost, type, gen, ord, lex, before, after, seen) for the words that are not valid."""
-    bad = stage(morph.valid(words.filter(F.length("word") > 1), lex, p).filter("NOT valid").select("word"))
-    return C.with_neighbours(C.best(stage(C.resolved(stage(C.raw(bad, p)), lex, p))), lex)
+    """(word, cand, cost, type, gen, ord, lex, before, after, seen) for the words that are not valid.
+
+    Raw candidates are many times the words, and few lead to a valid form: they are worked out
+    for a portion of the words after the other, and their tables go with the portion.
+    """
+    spark = words.sparkSession
+    with scope() as s:
+        bad = s.keep(stage(morph.valid(words.filter(F.length("word") > 1), lex, p).filter("NOT valid").select("word")))
+    n = max(1, min(PORTIONS, -(-bad.count() // PORTION)))
+    out = None
+    for i in range(n):
+        free(spark)
+        with scope() as s:
+            some = bad.filter(F.pmod(F.xxhash64("word"), F.lit(n)) == i) if n > 1 else bad
+            best = s.keep(stage(C.best(C.resolved(stage(C.raw(some, p)), lex, p))))
+        out = best if out is None else out.unionByName(best)
+    return C.with_neighbours(out, lex)
 
 
 def choose(cands, prev, nxt, n_words):
@@ -46,7 +70,8 @@ def choose(cands, prev, nxt, n_words):
 
 def per_word(words: DataFrame, lex: Lexicon, p: ScriptProfile) -> DataFrame:
     """(word, cands) of distinct words that are not valid and have candidates; cands with their distances."""
-    c = candidates_of(words, lex, p).withColumn("dist", T.weighted_distance(F.col("word"), F.col("cand"), p))
+    ship(words.sparkSession)
+    c = candidates_of(words, lex, p).withColumn("dist", T.distances(F.col("word"), F.col("cand"), p))
     return c.groupBy("word").agg(F.collect_list(F.struct("cand", "cost", "type", "gen", "ord", "before", "after", "seen", "dist")).alias("cands"))
 
 
@@ -62,47 +87,94 @@ def suggest(words: DataFrame, lex: Lexicon, p: ScriptProfile) -> DataFrame:
     return out.select("word", F.coalesce("b.cand", "word").alias("correction"), dist.alias("edit_distance"), F.coalesce("b.type", F.lit("none")).alias("type"))
 
 
-#: Choices are collected in blocks, so that a fold appends to short arrays only.
-FOLD = 32
+def _scores(c: Column, n_words: int) -> Column:
+    """Scores of a candidate by its context: none at all, then with no, one and two of its neighbours in the lexicon."""
+    x, y = F.lit("x"), F.lit("y")
+    near = [C.bonus(C.lm_score(c["seen"], x, x, prev, nxt, n_words), prev, nxt) for prev, nxt in ((y, y), (x, y), (x, x))]
+    return F.array(*[F.round(c["cost"] - b, 3) for b in (F.lit(0.0), *near)])
 
 
-def folded(words: Column, found: Column, n_words: int) -> Column:
-    """array<struct<k,word,cand,type,dist>>: the choice for every word that has candidates, in order.
+def packed(cands: Column, n_words: int) -> Column:
+    """A word's candidates as JSON, with all that the fold asks of them."""
+    one = lambda c: F.struct(c["cand"].alias("c"), F.round(c["dist"], 2).alias("d"), c["type"].alias("t"), c["gen"].alias("g"), c["ord"].alias("o"), c["before"].alias("b"), c["after"].alias("a"), _scores(c, n_words).alias("s"))
+    return F.to_json(F.transform(cands, one))
 
-    ``words``: a text's words; ``found``: array<struct<word,ks,cands>>, its words with
-    candidates and their places.  A word's left neighbour is what was chosen for it.
-    """
-    at = F.array_sort(F.flatten(F.transform(found, lambda x, d: F.transform(x["ks"], lambda k: F.struct(k.alias("k"), d.alias("d"))))))
-    out = "array<struct<k:int,word:string,cand:string,type:string,dist:double>>"
 
-    def fold(at):
-        n = F.size(at)
-        blocks = F.when(n > 0, F.sequence(F.lit(0), ((n - 1) / FOLD).cast("int"))).otherwise(F.array().cast("array<int>"))
+@lru_cache(100_000)
+def _unpacked(cands: str) -> list[tuple]:
+    return [(x["c"], x["d"], x["t"], x["g"], x["o"], x.get("b"), x.get("a"), x["s"]) for x in json.loads(cands)]
 
-        def one(acc, x):
-            k, cands = x["k"], F.get(found, x["d"])["cands"]
-            prev = F.when(acc["k"] == k - 1, acc["cand"]).when(k > 0, F.get(words, k - 1))
 
-            def put(b):
-                dist = F.element_at(F.filter(cands, lambda c: c["cand"] == b["cand"]), 1)["dist"]
-                row = F.struct(k.alias("k"), F.get(words, k).alias("word"), b["cand"].alias("cand"), b["type"].alias("type"), dist.alias("dist"))
-                return F.struct(k.alias("k"), b["cand"].alias("cand"), F.concat(acc["out"], F.array(row)).alias("out"))
+def fold(text: str, found: list[dict], words: re.Pattern) -> tuple[str, int, list[dict]]:
+    """(corrected, words, corrections) of a text, in one pass from left to right.
 
-            return T.let(choose(cands, prev, F.get(words, k + 1), n_words), put)
-
-        def block(acc, b):
-            start = F.struct(acc["k"].alias("k"), acc["cand"].alias("cand"), F.array().cast(out).alias("out"))
-            done = F.aggregate(F.slice(at, b * FOLD + 1, FOLD), start, one)
-            return T.let(done, lambda d: F.struct(d["k"].alias("k"), d["cand"].alias("cand"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
-
-        first = F.struct(F.lit(-2).alias("k"), F.lit(None).cast("string").alias("cand"), F.array().cast(f"array<{out}>").alias("out"))
-        return F.aggregate(blocks, first, block, lambda acc: F.flatten(acc["out"]))
-
-    return T.let(at, fold)
+    ``found``: what the text has of the dictionary (key, cands): a word with its candidates,
+    or two words with a blank between that are merged, with the candidates of both as one.
+    """
+    parts = words.split(text)  # other, word, other, word, ..., other
+    ends = list(accumulate(map(len, parts)))
+    places, begins = list(range(1, len(parts), 2)), {}
+    pairs = {x["key"]: x["cands"] for x in found if " " in x["key"]}
+    known = {x["key"]: x["cands"] for x in found if " " not in x["key"]}
+    out = []
+    if pairs:
+        firsts, kept, skip = {k.partition(" ")[0] for k in pairs}, [], False
+        for j in places:
+            if skip:
+                skip = False
+                continue
+            kept.append(j)
+            if parts[j] in firsts and j + 2 < len(parts) and parts[j + 1] == " " and (pair := f"{parts[j]} {parts[j + 2]}") in pairs:
+                begins[j], skip = ends[j - 1], True
+                joined = parts[j] + parts[j + 2]
+                out.append({"original": pair, "correction": joined, "edit_distance": 0.5, "type": "ocr_repair", "start": ends[j - 1], "end": ends[j + 2]})
+                parts[j], parts[j + 1], parts[j + 2] = joined, "", ""
+                if pairs[pair] is not None:
+                    known[joined] = pairs[pair]
+        places = kept
+    if known:
+        old = [parts[j] for j in places]
+        for k, j in enumerate(places):
+            if (cands := known.get(old[k])) is None:
+                continue
+            prev = parts[places[k - 1]] if k else None  # as it was corrected
+            nxt = old[k + 1] if k + 1 < len(old) else None
+            alone = prev is None and nxt is None
+
+            def key(x):
+                hits = 0 if alone else 1 + (prev is not None and prev == x[5]) + (nxt is not None and nxt == x[6])
+                return x[7][hits], x[3], x[4], x[0], x[2]
+
+            best = min(_unpacked(cands), key=key)
+            if best[0] != old[k]:
+                end = ends[j + 2] if j in begins else ends[j]
+                out.append({"original": old[k], "correction": best[0], "edit_distance": best[1], "type": best[2], "start": ends[j - 1], "end": end})
+                parts[j] = best[0]
+    return "".join(parts), len(places), out
+
+
+FOLDED = pa.struct([("corrected", pa.string()), ("words", pa.int32()), ("corrections", pa.list_(pa.struct([("original", pa.string()), ("correction", pa.string()), ("edit_distance", pa.float64()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+
+
+def folded(text: Column, found: Column, p: ScriptProfile) -> Column:
+    """struct<corrected,words,corrections> of texts by ``fold``; a null text stays null, without words."""
+    pattern = f"([{p.word}]+)"
+
+    def run(texts: pa.Array, founds: pa.Array) -> pa.Array:
+        words = re.compile(pattern)
+        rows = ((None, 0, []) if t is None else fold(t, f or [], words) for t, f in zip((x.as_py() for x in texts), (x.as_py() for x in founds)))
+        return pa.array([dict(zip(("corrected", "words", "corrections"), r)) for r in rows], FOLDED)
+
+    run.__annotations__ = {"texts": pa.Array, "founds": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, f"struct<corrected:string,words:int,corrections:{CORRECTION}>")(text, found)
 
 
 class Corrected:
-    """Corrected texts: the input's columns beside corrected, corrections and counts, as one staged table."""
+    """Corrected texts: the input's columns beside corrected, corrections and counts.
+
+    The texts and what was found for them are staged; the fold runs where the result is used, so
+    whoever reads a result more than once should write it.
+    """
 
     def __init__(self, table: DataFrame, columns: list[str], id_col: str, text_col: str):
         self.table, self.columns, self.id_col, self.text_col = table, columns, id_col, text_col
@@ -113,49 +185,38 @@ class Corrected:
         ``keep``: columns of the input to have instead of the id and the original.
         """
         first = [self.id_col, F.col(self.text_col).alias("original")] if keep is None else keep
-        n, total = F.col("__words"), F.size("__corrections")
+        n, total = F.col("__done.words"), F.size("__done.corrections")
         return self.table.select(
-            *first, F.col("__corrected").alias("corrected"), (total > 0).alias("has_errors"), n.alias("total_words"), total.alias("total_corrections"),
-            F.round((1.0 - total / F.greatest(n, F.lit(1))) * 100, 1).alias("accuracy_rate"), F.col("__corrections").alias("corrections"),
+            *first, F.col("__done.corrected").alias("corrected"), (total > 0).alias("has_errors"), n.alias("total_words"), total.alias("total_corrections"),
+            F.round((1.0 - total / F.greatest(n, F.lit(1))) * 100, 1).alias("accuracy_rate"), F.col("__done.corrections").alias("corrections"),
         )
 
     @property
     def corrections(self) -> DataFrame:
         """(id, original, correction, edit_distance, type, start, end): a row per correction."""
-        return self.table.select(self.id_col, F.explode("__corrections").alias("c")).select(self.id_col, "c.*")
+        return self.table.select(self.id_col, F.explode("__done.corrections").alias("c")).select(self.id_col, "c.*")
 
 
 def correct(docs: DataFrame, lex: Lexicon, p: ScriptProfile, *, id_col="doc_id", text_col="text") -> Corrected:
     """Rows are texts of their own: equal or null ids are not mixed up; a null text stays null, without words."""
+    ship(docs.sparkSession)
     with scope() as s:
-        base = docs.withColumn("__row", F.monotonically_increasing_id())
-        base = stage(base.withColumn("__toks", T.tokens(T.normalise(F.col(text_col), p), p)))
-        healed = stage(heal.pairs(base, lex, p, key="__row", toks_col="__toks"))
-        fix = F.struct(F.concat_ws(" ", "w1", "w2").alias("original"), F.concat("w1", "w2").alias("correction"), F.lit(0.5).alias("edit_distance"), F.lit("ocr_repair").alias("type"), "start", "end")
-        joins = healed.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", fix.alias("fix")))).alias("__heal"))
-        t = base.select("__row", "__toks").join(joins, "__row", "left")
-        t = t.select("__row", heal.merged(F.col("__toks"), F.transform("__heal", lambda x: x["pos"])).alias("__toks"), F.transform("__heal", lambda x: x["fix"]).alias("__fixes"))
-        # Words with the place of their token.
-        places = F.filter(F.transform("__toks", lambda x, i: F.struct(x["type"].alias("type"), x["value"].alias("value"), i.alias("at"))), lambda x: x["type"] == "word")
-        t = stage(t.withColumn("__places", F.transform(places, lambda x: x["at"])).withColumn("__ws", F.transform(places, lambda x: x["value"])))
-        words = t.select(F.explode(F.array_distinct("__ws")).alias("word")).distinct()
-        known = stage(per_word(words, lex, p))
-        # The dictionary of each text: its words with candidates, and where they are.
-        hits = t.select("__row", F.posexplode("__ws").alias("k", "word")).join(small(known.select("word")), "word", "left_semi")
-        hits = hits.groupBy("__row", "word").agg(F.collect_list("k").alias("ks")).join(small(known), "word")
-        found = hits.groupBy("__row").agg(F.collect_list(F.struct("word", "ks", "cands")).alias("__found"))
-        done = t.join(found, "__row", "left").withColumn("__made", F.when(F.col("__found").isNotNull(), F.filter(folded(F.col("__ws"), F.col("__found"), lex.size), lambda x: x["cand"] != x["word"])))
-        done = stage(done.select("__row", "__toks", "__fixes", "__places", F.size("__ws").alias("__words"), "__made"))
-        at = F.transform("__made", lambda x: F.get("__places", x["k"]))
-        values = F.transform("__toks", lambda x: x["value"])
-        new = F.when(F.coalesce(F.size("__made"), F.lit(0)) > 0, T.spliced(values, at, 1, lambda i, j: F.get(F.col("__made"), j)["cand"])).otherwise(values)
-        token = lambda x: F.get("__toks", F.get("__places", x["k"]))
-        single = F.transform("__made", lambda x: F.struct(x["word"].alias("original"), x["cand"].alias("correction"), F.round(x["dist"], 2).alias("edit_distance"), x["type"].alias("type"), token(x)["start"].alias("start"), token(x)["end"].alias("end")))
-        none = F.array().cast(CORRECTION)
-        fixes = F.concat(F.coalesce(F.col("__fixes").cast(CORRECTION), none), F.coalesce(single.cast(CORRECTION), none))
-        done = done.select("__row", F.array_join(new, "").alias("__corrected"), F.greatest(F.coalesce("__words", F.lit(0)), F.lit(0)).alias("__words"), fixes.alias("__corrections"))
-        out = s.keep(stage(base.drop("__toks").join(done, "__row").drop("__row")))
-    return Corrected(out, docs.columns, id_col, text_col)
+        base = s.keep(stage(docs.withColumn("__row", F.monotonically_increasing_id())))
+        text = T.normalise(F.col(text_col), p)
+        pairs = base.select(F.explode(F.array_distinct(heal.starts(text, p))).alias("key")).filter(F.contains("key", F.lit(" ")))
+        good = stage(heal.judged(pairs.select(F.substring_index("key", " ", 1).alias("w1"), F.substring_index("key", " ", -1).alias("w2")), lex, p))
+        good = good.select(F.concat_ws(" ", "w1", "w2").alias("key"), F.concat("w1", "w2").alias("word"))
+        words = base.select(F.explode(F.array_distinct(T.words(text, p))).alias("word")).unionByName(good.select("word")).distinct()
+        known = stage(per_word(words, lex, p).select("word", packed(F.col("cands"), lex.size).alias("cands")))
+        # The dictionary of each text: its words with candidates, and its pairs to merge.
+        keys = stage(known.select(F.col("word").alias("key"), "cands").unionByName(good.join(known, "word", "left").select("key", "cands")))
+        free(docs.sparkSession)
+        each = F.array_distinct(F.concat(T.words(text, p), F.filter(heal.starts(text, p), lambda x: F.contains(x, F.lit(" ")))))
+        hits = base.select("__row", F.explode(each).alias("key")).join(small(keys.select("key")), "key", "left_semi").join(small(keys), "key")
+        found = s.keep(stage(hits.groupBy("__row").agg(F.collect_list(F.struct("key", "cands")).alias("__found"))))
+    free(docs.sparkSession)
+    table = base.join(found, "__row", "left").withColumn("__done", folded(text, F.col("__found"), p))
+    return Corrected(table, docs.columns, id_col, text_col)
 
 
 def summary(corrections: DataFrame) -> DataFrame:

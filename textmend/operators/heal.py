@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..script import ScriptProfile
 from ..staging import small, stage
 from . import morph
-from .lexicon import Lexicon
+from .lexicon import MAX_BROADCAST, Lexicon
 
 
 def near(toks: Column, p: ScriptProfile) -> Column:
@@ -27,6 +27,32 @@ def near(toks: Column, p: ScriptProfile) -> Column:
     return F.filter(some, lambda x: ~x["w1"].isin(*p.protected) & ~x["w2"].isin(*p.protected))
 
 
+def starts(text: Column, p: ScriptProfile) -> Column:
+    """array<string>: every word of a text, with the next one behind it if one blank alone parts them."""
+    return F.regexp_extract_all(text, F.lit(f"(?<![{p.word}])(?=([{p.word}]++(?: [{p.word}]++)?))"), F.lit(1))
+
+
+def judged(pairs: DataFrame, lexicon: Lexicon, p: ScriptProfile) -> DataFrame:
+    """Distinct (w1, w2) that are one word, of pairs that may repeat; protected words aside.
+
+    If the lexicon is broadcast, pairs that cannot be one word go before any are dealt out.
+    """
+    each = pairs.filter(~F.col("w1").isin(*p.protected) & ~F.col("w2").isin(*p.protected)).select("w1", "w2", F.concat("w1", "w2").alias("word"))
+    if lexicon.size > MAX_BROADCAST:
+        each = each.distinct()
+    # A second word that is a suffix or starts like an auxiliary needs no lookup.
+    sure = reduce(lambda x, a: x | F.startswith("w2", F.lit(a)), p.auxiliaries, F.col("w2").isin(*p.suffixes))
+    tail = reduce(lambda x, t: x | F.endswith("word", F.lit(t)), p.suffixes, F.lit(False))
+    there = lambda name, flag: lexicon.words(name).withColumn(flag, F.lit(True))
+    known = each.join(there("word", "joined"), "word", "left").join(there("w1", "first"), "w1", "left")
+    fine = F.coalesce(sure | F.col("joined"), F.lit(False))
+    kept = known.select("w1", "w2", "word", fine.alias("fine"), (F.col("first").isNull() & tail).alias("open")).filter("fine OR open").select("w1", "w2", "word", "fine")
+    kept = stage(kept.distinct())
+    rest = kept.filter("NOT fine")
+    parts = morph.decompose(rest.select("word").distinct(), lexicon, p).select("word")
+    return kept.filter("fine").select("w1", "w2").unionByName(rest.join(parts, "word", "left_semi").select("w1", "w2"))
+
+
 def pairs(texts: DataFrame, lexicon: Lexicon, p: ScriptProfile, *, key="doc_id", toks_col="toks") -> DataFrame:
     """(key, pos, start, end, w1, w2) of the pairs that are merged.
 
@@ -34,25 +60,10 @@ def pairs(texts: DataFrame, lexicon: Lexicon, p: ScriptProfile, *, key="doc_id",
     it.  Pairs are found within each text and judged once per distinct pair of words.
     """
     some = stage(texts.select(key, F.explode(near(F.col(toks_col), p)).alias("n")).select(key, "n.*"))
-    # A second word that is a suffix or starts like an auxiliary needs no lookup.
-    aux = reduce(lambda x, a: x | F.startswith("w2", F.lit(a)), p.auxiliaries, F.lit(False))
-    sure = F.col("w2").isin(*p.suffixes) | aux
-    both = stage(some.filter(~sure).select("w1", "w2", F.concat("w1", "w2").alias("word")).distinct())
-    lex = lexicon.words()
-    joined = both.join(lex, "word", "left_semi")
-    rest = stage(both.join(lex, "word", "left_anti").join(lexicon.words("w1"), "w1", "left_anti"))
-    parts = morph.decompose(rest.select("word").distinct(), lexicon, p).select("word")
-    good = stage(joined.select("w1", "w2").unionByName(rest.join(parts, "word", "left_semi").select("w1", "w2")).distinct())
-    ok = some.filter(sure).unionByName(some.filter(~sure).join(small(good), ["w1", "w2"], "left_semi"))
+    good = stage(judged(some.select("w1", "w2"), lexicon, p))
+    ok = some.join(small(good), ["w1", "w2"], "left_semi")
     # Pairs at places i and i + 2 share a word.
     o = Window.partitionBy(key).orderBy("pos")
     isle = ok.withColumn("isle", F.col("pos") - 2 * F.row_number().over(o))
     turn = F.row_number().over(Window.partitionBy(key, "isle").orderBy("pos"))
     return isle.withColumn("turn", turn).filter("turn % 2 = 1").select(key, "pos", "start", "end", "w1", "w2")
-
-
-def merged(toks: Column, at: Column) -> Column:
-    """A token array with the pairs that start at the places ``at`` (ascending; null: none) as one word each."""
-    t = lambda i, c: F.get(toks, i)[c]
-    one = lambda i, j: F.struct(t(i, "pos").alias("pos"), t(i, "type").alias("type"), F.concat(t(i, "value"), t(i + 2, "value")).alias("value"), t(i, "start").alias("start"), t(i + 2, "end").alias("end"))
-    return F.when(F.coalesce(F.size(at), F.lit(0)) > 0, T.spliced(toks, at, 3, one)).otherwise(toks)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..script import ScriptProfile
-from ..staging import scope, stage
+from ..staging import scope, small, stage
 
 #: Lexicons up to this many words are broadcast, after a count; larger ones join by shuffle.
 MAX_BROADCAST = 2_000_000
@@ -75,9 +75,15 @@ def load(spark: SparkSession, dic: str, p: ScriptProfile, aff: str | None = None
 def from_documents(docs: DataFrame, p: ScriptProfile, *, id_col="doc_id", text_col="text", min_docs: int = 3) -> DataFrame:
     """Lower-cased words that occur in at least ``min_docs`` documents."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"[{p.word}]+"), F.lit(0)))
-    each = docs.select(F.col(id_col), F.explode(words).alias("word"))
-    # Texts of one id count once; a word's documents are counted after a partial sum per task.
-    return each.filter(T.is_word(F.col("word"), p)).distinct().groupBy("word").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("word")
+    count = lambda df: df.groupBy("word").agg(F.count("*").alias("docs"))
+    each = lambda df: df.select("id", F.explode("words").alias("word")).filter(T.is_word(F.col("word"), p))
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("texts")).filter("texts > 1")
+    ids = small(stage(ids.select(F.struct("id").alias("id"))))  # as a struct, in which nulls are equal
+    rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), words.alias("words"))
+    # Texts of one id count once, so their words are dealt out by id; the words of other texts are counted in each task first.
+    alone, several = rows.join(ids, "id", "left_anti"), rows.join(ids, "id", "left_semi")
+    total = count(each(alone)).unionByName(count(each(several).distinct()))
+    return total.groupBy("word").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("word")
 
 
 def ordered(lexicon: DataFrame) -> DataFrame:

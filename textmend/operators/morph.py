@@ -93,7 +93,6 @@ def valid(words: DataFrame, lexicon: Lexicon, p: ScriptProfile) -> DataFrame:
 def resolve(words: DataFrame, lexicon: Lexicon, p: ScriptProfile) -> DataFrame:
     """(word, form): the word if known, its root and suffix joined anew, or itself if a compound."""
     words = stage(words.select("word").distinct())
-    parts = stage(decompose(words, lexicon, p)).select("word", T.join_suffix(F.col("root"), F.col("suffix"), p).alias("form"))
-    parts = stage(parts)
+    parts = stage(decompose(words, lexicon, p).select("word", T.join_suffix(F.col("root"), F.col("suffix"), p).alias("form")))
     rest = stage(words.join(parts, "word", "left_anti"))
     return parts.unionByName(compounds(rest, lexicon, p).select("word", F.col("word").alias("form")))

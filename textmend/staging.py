@@ -89,6 +89,11 @@ def small(df: DataFrame, rows: int = 2_000_000, size: int = 64 << 20) -> DataFra
     return F.broadcast(df) if held <= size and df.limit(rows + 1).count() <= rows else df
 
 
+def free(spark: SparkSession) -> None:
+    """Have the driver drop what it no longer refers to: executors then delete the shuffle files of finished plans."""
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Let local workers import this package; on a cluster pass it with ``--py-files``."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])

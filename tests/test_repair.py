@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from textmend import cli, staging
+from textmend import catalog, cli, staging
 from textmend.functions import text as T
 from textmend.operators import candidates, correct, heal, layout, lexicon, morph
 from textmend.plans.document import Engine
@@ -341,3 +341,31 @@ def test_distances_equal_the_columns(spark):
     df = spark.createDataFrame([*rows, ("ab", "ab")], "a string, b string")
     got = df.select(T.distances(F.col("a"), F.col("b"), LATIN).alias("x"), T.weighted_distance(F.col("a"), F.col("b"), LATIN).alias("y")).collect()
     assert [x.x for x in got] == [x.y for x in got]
+
+
+@pytest.mark.parametrize("name", ["correction_summary"])
+def test_queries_of_corrections_stage_little(spark, tmp_path, monkeypatch, name):
+    """Beside the texts themselves little is staged at any time; every text's one wrong word is found."""
+    r = random.Random(7)
+    words = ["".join(r.choices("bdfgjkprvwz", k=6)) for _ in range(2000)]
+    wrong = [w[:3] + "y" + w[3:] for w in r.sample(words, 1200)]
+    texts = [(i, " ".join(r.choices(words, k=300)) + " " + w) for i, w in enumerate(wrong)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(4).write.parquet(str(tmp_path / "documents.parquet"))
+    size = lambda paths: sum(f.stat().st_size for p in paths for f in p.rglob("*.parquet"))
+    folder = pathlib.Path(staging.shared_dir(spark).removeprefix("file:"))
+    given, old, peak, before = size([tmp_path / "documents.parquet"]), staging.stage, [0], set(folder.glob("stage-*"))
+
+    def watched(df):
+        out = old(df)
+        peak[0] = max(peak[0], size(set(folder.glob("stage-*")) - before))
+        return out
+
+    for m in (correct, heal, morph, candidates, lexicon):
+        monkeypatch.setattr(m, "stage", watched)
+    with staging.scope():
+        rows = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "diff_spans":
+        assert sorted((x.doc_id, x.original) for x in rows) == list(enumerate(wrong))
+    else:
+        assert sum(x.n for x in rows) == 1200 and sum(x.originals for x in rows) == len(set(wrong))
+    assert peak[0] < 2 * given, (peak[0], given)

@@ -343,7 +343,7 @@ def test_distances_equal_the_columns(spark):
     assert [x.x for x in got] == [x.y for x in got]
 
 
-@pytest.mark.parametrize("name", ["correction_summary"])
+@pytest.mark.parametrize("name", ["correction_summary", "diff_spans"])
 def test_queries_of_corrections_stage_little(spark, tmp_path, monkeypatch, name):
     """Beside the texts themselves little is staged at any time; every text's one wrong word is found."""
     r = random.Random(7)

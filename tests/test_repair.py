@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import pathlib
 import random
+import re
 import time
 
 import pytest
@@ -369,3 +370,71 @@ def test_queries_of_corrections_stage_little(spark, tmp_path, monkeypatch, name)
     else:
         assert sum(x.n for x in rows) == 1200 and sum(x.originals for x in rows) == len(set(wrong))
     assert peak[0] < 2 * given, (peak[0], given)
+
+
+def _on_disk(spark):
+    """Bytes of staged tables and of shuffle files just now."""
+    folder = pathlib.Path(staging.shared_dir(spark).removeprefix("file:"))
+    dealt = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet")) + sum(dealt.apply(i).length() for i in range(dealt.size()))
+
+
+@pytest.mark.parametrize("name", ["correction_summary", "diff_spans"])
+def test_queries_of_corrections_deal_out_little(spark, tmp_path, monkeypatch, name):
+    """Staged tables and shuffle files together, with a dictionary that is too large to be broadcast and texts of many words."""
+    r = random.Random(8)
+    words = ["".join(r.choices("bdfgjkprvwz", k=6)) for _ in range(4000)]
+    wrong = [w[:3] + "y" + w[3:] for w in r.sample(words, 2000)]
+    texts = [(i, " ".join([*r.choices(words, k=500), w, *r.choices(words, k=500), w])) for i, w in enumerate(wrong)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(4).write.parquet(str(tmp_path / "documents.parquet"))
+    given = sum(f.stat().st_size for f in (tmp_path / "documents.parquet").rglob("*.parquet"))
+    staging.free(spark)
+    time.sleep(1)
+    old, before, peak = staging.stage, _on_disk(spark), [0]
+
+    def watched(df):
+        out = old(df)
+        peak[0] = max(peak[0], _on_disk(spark) - before)
+        return out
+
+    for m in (correct, heal, morph, candidates, lexicon):
+        monkeypatch.setattr(m, "stage", watched)
+    monkeypatch.setattr(correct, "small", lambda df: df.hint("shuffle_merge"))
+    monkeypatch.setattr(correct, "TEXTS", 1 << 20, raising=False)
+    with staging.scope():
+        rows = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        peak[0] = max(peak[0], _on_disk(spark) - before)
+    if name == "diff_spans":
+        assert sorted((x.doc_id, x.row, x.original) for x in rows) == [(i, k, w) for i, w in enumerate(wrong) for k in (1, 2)]
+    else:
+        assert sum(x.n for x in rows) == 4000 and sum(x.originals for x in rows) == len(set(wrong))
+    assert peak[0] < 2 * given, (peak[0], given)
+
+
+def test_a_sieve_loses_no_key_and_few_others_pass(spark):
+    keys = spark.range(0, 3000, 3).select(F.concat(F.lit("k "), "id").alias("key"))
+    hits = spark.range(60_000).select(F.col("id").alias("__row"), F.concat(F.lit("k "), F.col("id") % 30_000).alias("key"))
+    with staging.scope():
+        got = {x["__row"] for x in correct.sieved(hits, keys).collect()}
+        assert correct.sieved(hits, keys.limit(0)).count() == 0
+    right = {i for i in range(60_000) if i % 30_000 < 3000 and i % 30_000 % 3 == 0}
+    assert right <= got and len(got) < 8 * len(right)
+
+
+def test_contenders_are_all_that_can_win(spark):
+    """The fold over a word's contenders equals the fold over all its candidates, in any context."""
+    r = random.Random(9)
+    kind = "array<struct<c:string,d:double,t:string,g:int,o:int,b:string,a:string,s:array<double>>>"
+    near = ["p", "q", None, None]
+
+    def cand(i):
+        s, up = round(r.choice([0.2, 0.25, 0.3, 0.35]), 3), r.choice([0.0, 0.013, 0.05])
+        return (r.choice(["w", f"c{i}"]), 1.0, "t", r.randint(2, 4), i, r.choice(near), r.choice(near), [s, round(s - up, 3), round(s - up - 0.075, 3), round(s - up - 0.15, 3)])
+
+    rows = [(i, [cand(j) for j in range(r.randint(1, 9))]) for i in range(300)]
+    got = spark.createDataFrame(rows, f"id int, cands {kind}").select("id", F.to_json("cands").alias("x"), F.to_json(correct.contenders(F.col("cands"))).alias("y")).collect()
+    pattern = re.compile("([a-z0-9]+)")
+    for x in got:
+        for text in ("w", "p w", "w q", "p w q", "q w p", "z w z", "z w q", "p w z", "w w"):
+            assert correct.fold(text, [{"key": "w", "cands": x.x}], pattern) == correct.fold(text, [{"key": "w", "cands": x.y}], pattern)
+    assert sum(len(x.y) for x in got) < 0.8 * sum(len(x.x) for x in got)

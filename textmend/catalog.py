@@ -262,7 +262,7 @@ def correction_summary(spark, sf_dir):
 
 
 def diff_spans(spark, sf_dir):
-    out = correct.diff_spans(correct.correct(docs(spark, sf_dir), lex(spark, sf_dir), P).texts())
+    out = correct.spans(correct.correct(docs(spark, sf_dir), lex(spark, sf_dir), P).numbered)
     return out.select("doc_id", "row", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "original", "correction", "class", "label")
 
 

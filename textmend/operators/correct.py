@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache, reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..script import ScriptProfile
-from ..staging import free, scope, ship, small, stage
+from ..staging import free, held, scope, ship, small, stage
 from . import candidates as C
 from . import heal, morph
 from .lexicon import Lexicon
@@ -38,6 +38,12 @@ def tokenize(docs: DataFrame, p: ScriptProfile, *, id_col="doc_id", text_col="te
 #: Words whose raw candidates are worked out at one time, and the most portions of a table.
 PORTION, PORTIONS = 50_000, 24
 
+#: Bytes of staged texts that are folded at one time where corrections alone are asked for, and the most portions.
+TEXTS, TEXT_PORTIONS = 16 << 20, 8
+
+#: The most numbers of 64 bits in the sieve of a dictionary's keys.
+SIEVE = 1 << 20
+
 
 def candidates_of(words: DataFrame, lex: Lexicon, p: ScriptProfile) -> DataFrame:
     """(word, cand, cost, type, gen, ord, lex, before, after, seen) for the words that are not valid.
@@ -94,10 +100,19 @@ def _scores(c: Column, n_words: int) -> Column:
     return F.array(*[F.round(c["cost"] - b, 3) for b in (F.lit(0.0), *near)])
 
 
+def contenders(cands: Column) -> Column:
+    """Those of a word's packed candidates that some context makes the best: the others never get below the best without neighbours."""
+    key = lambda c, s: F.struct(s.alias("s"), c["g"].alias("g"), c["o"].alias("o"), c["c"].alias("c"), c["t"].alias("t"))
+    first = lambda k: F.array_min(F.transform(cands, lambda c: key(c, F.get(c["s"], F.lit(k)))))
+    least = lambda c: F.get(c["s"], F.lit(1) + c["b"].isNotNull().cast("int") + c["a"].isNotNull().cast("int"))
+    fits = lambda alone, near: F.filter(cands, lambda c: (key(c, F.get(c["s"], F.lit(0))) <= alone) | (key(c, least(c)) <= near))
+    return T.let(first(0), lambda alone: T.let(first(1), lambda near: fits(alone, near)))
+
+
 def packed(cands: Column, n_words: int) -> Column:
-    """A word's candidates as JSON, with all that the fold asks of them."""
+    """A word's candidates as JSON, with all that the fold asks of them; without those that cannot win."""
     one = lambda c: F.struct(c["cand"].alias("c"), F.round(c["dist"], 2).alias("d"), c["type"].alias("t"), c["gen"].alias("g"), c["ord"].alias("o"), c["before"].alias("b"), c["after"].alias("a"), _scores(c, n_words).alias("s"))
-    return F.to_json(F.transform(cands, one))
+    return F.to_json(T.let(F.transform(cands, one), contenders))
 
 
 @lru_cache(100_000)
@@ -173,11 +188,19 @@ class Corrected:
     """Corrected texts: the input's columns beside corrected, corrections and counts.
 
     The texts and what was found for them are staged; the fold runs where the result is used, so
-    whoever reads a result more than once should write it.
+    whoever reads a result more than once should write it.  Corrections alone are folded a portion of
+    the texts after the other and staged, so that few texts are dealt out at a time.
     """
 
-    def __init__(self, table: DataFrame, columns: list[str], id_col: str, text_col: str):
-        self.table, self.columns, self.id_col, self.text_col = table, columns, id_col, text_col
+    def __init__(self, base: DataFrame, found: DataFrame, columns: list[str], id_col: str, text_col: str, p: ScriptProfile):
+        self.base, self.found, self.columns, self.id_col, self.text_col, self.p = base, found, columns, id_col, text_col, p
+
+    def _done(self, base: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        return base.join(found, "__row", how).withColumn("__done", folded(T.normalise(F.col(self.text_col), self.p), F.col("__found"), self.p))
+
+    @property
+    def table(self) -> DataFrame:
+        return self._done(self.base, self.found, "left")
 
     def texts(self, keep: list[str] | None = None) -> DataFrame:
         """One row per text: original, corrected, has_errors, total_words, total_corrections, accuracy_rate, corrections.
@@ -191,10 +214,38 @@ class Corrected:
             F.round((1.0 - total / F.greatest(n, F.lit(1))) * 100, 1).alias("accuracy_rate"), F.col("__done.corrections").alias("corrections"),
         )
 
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """(id, row, original, correction, edit_distance, type, start, end): a row per correction, numbered in each text from 1."""
+        n = max(1, min(TEXT_PORTIONS, -(-held(self.base) // TEXTS)))
+        parts = [self._portion(i, n) for i in range(n)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _portion(self, i: int, n: int) -> DataFrame:
+        free(self.base.sparkSession)
+        some = lambda df: df.filter(F.pmod(F.xxhash64("__row"), F.lit(n)) == i) if n > 1 else df
+        # A text for which nothing was found has no corrections.
+        done = self._done(some(self.base.select("__row", self.id_col, self.text_col)), some(self.found), "inner")
+        each = done.select(self.id_col, F.posexplode("__done.corrections").alias("__i", "c"))
+        return stage(each.select(self.id_col, (F.col("__i") + 1).alias("row"), "c.*"))
+
     @property
     def corrections(self) -> DataFrame:
         """(id, original, correction, edit_distance, type, start, end): a row per correction."""
-        return self.table.select(self.id_col, F.explode("__done.corrections").alias("c")).select(self.id_col, "c.*")
+        return self.numbered.drop("row")
+
+
+def sieved(hits: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be one of ``keys``: all that are, and few others.
+
+    A bit for each key's hash, in a bounded table that is broadcast however many keys there are:
+    what cannot be found is not dealt out.
+    """
+    slots = F.lit(max(1, min(SIEVE, keys.count() // 4)))
+    at = lambda: [F.pmod(F.xxhash64("key"), slots).alias("__slot"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(64)).cast("int").alias("__bit")]
+    bits = keys.select(*at()).groupBy("__slot").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    tried = hits.select(*hits.columns, *at()).join(F.broadcast(stage(bits)), "__slot")
+    return tried.filter(F.expr("getbit(__bits, __bit) = 1")).select(*hits.columns)
 
 
 def correct(docs: DataFrame, lex: Lexicon, p: ScriptProfile, *, id_col="doc_id", text_col="text") -> Corrected:
@@ -212,21 +263,25 @@ def correct(docs: DataFrame, lex: Lexicon, p: ScriptProfile, *, id_col="doc_id",
         keys = stage(known.select(F.col("word").alias("key"), "cands").unionByName(good.join(known, "word", "left").select("key", "cands")))
         free(docs.sparkSession)
         each = F.array_distinct(F.concat(T.words(text, p), F.filter(heal.starts(text, p), lambda x: F.contains(x, F.lit(" ")))))
-        hits = base.select("__row", F.explode(each).alias("key")).join(small(keys.select("key")), "key", "left_semi").join(small(keys), "key")
+        hits = sieved(base.select("__row", F.explode(each).alias("key")), keys).join(small(keys), "key")
         found = s.keep(stage(hits.groupBy("__row").agg(F.collect_list(F.struct("key", "cands")).alias("__found"))))
     free(docs.sparkSession)
-    table = base.join(found, "__row", "left").withColumn("__done", folded(text, F.col("__found"), p))
-    return Corrected(table, docs.columns, id_col, text_col)
+    return Corrected(base, found, docs.columns, id_col, text_col, p)
 
 
 def summary(corrections: DataFrame) -> DataFrame:
     return corrections.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("original").alias("originals"), F.round(F.avg("edit_distance"), 4).alias("mean_distance"))
 
 
+def spans(numbered: DataFrame, *, id_col="doc_id") -> DataFrame:
+    """(id, row, start, end, original, correction, class, label) of numbered corrections."""
+    return numbered.select(id_col, "row", "start", "end", "original", "correction", T.diff_class(F.col("type")).alias("class"), T.type_label(F.col("type")).alias("label"))
+
+
 def diff_spans(texts: DataFrame, *, id_col="doc_id") -> DataFrame:
     """(id, row, start, end, original, correction, class, label): a row per correction, numbered as in a table."""
-    e = texts.select(id_col, F.posexplode("corrections").alias("i", "c"))
-    return e.select(id_col, (F.col("i") + 1).alias("row"), "c.start", "c.end", "c.original", "c.correction", T.diff_class(F.col("c.type")).alias("class"), T.type_label(F.col("c.type")).alias("label"))
+    e = texts.select(id_col, F.posexplode("corrections").alias("__i", "c"))
+    return spans(e.select(id_col, (F.col("__i") + 1).alias("row"), "c.*"), id_col=id_col)
 
 
 def highlight(texts: DataFrame, *, id_col="doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ one result feeds several branches.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -73,7 +74,7 @@ def scope():
 def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if _SCOPES:
         _SCOPES[-1].made.append((spark, path))
     else:
@@ -85,12 +86,17 @@ def stage(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, rows: int = 2_000_000, size: int = 64 << 20) -> DataFrame:
     """A staged table, marked for broadcast if its files hold at most ``size`` bytes and it at most ``rows`` rows."""
-    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if held <= size and df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if held(df) <= size and df.limit(rows + 1).count() <= rows else df
+
+
+def held(df: DataFrame) -> int:
+    """Bytes of a staged table's files, as the plan has them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def free(spark: SparkSession) -> None:
     """Have the driver drop what it no longer refers to: executors then delete the shuffle files of finished plans."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

@@ -257,6 +257,8 @@ def correct(docs: DataFrame, lex: Lexicon, p: ScriptProfile, *, id_col="doc_id",
         pairs = base.select(F.explode(F.array_distinct(heal.starts(text, p))).alias("key")).filter(F.contains("key", F.lit(" ")))
         good = stage(heal.judged(pairs.select(F.substring_index("key", " ", 1).alias("w1"), F.substring_index("key", " ", -1).alias("w2")), lex, p))
         good = good.select(F.concat_ws(" ", "w1", "w2").alias("key"), F.concat("w1", "w2").alias("word"))
+        del pairs
+        free(docs.sparkSession)
         words = base.select(F.explode(F.array_distinct(T.words(text, p))).alias("word")).unionByName(good.select("word")).distinct()
         known = stage(per_word(words, lex, p).select("word", packed(F.col("cands"), lex.size).alias("cands")))
         # The dictionary of each text: its words with candidates, and its pairs to merge.
